@@ -1,8 +1,8 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from lodestone.llm import quality_rules
+from lodestone.llm import mixing, quality_rules
 
-_MODULES = (quality_rules,)
+_MODULES = (mixing, quality_rules)
 
 
 def queries():
