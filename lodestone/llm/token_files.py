@@ -248,7 +248,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, key: str = "doc_id", t
     """Writes the shards below folder (a new one in the shared folder by default). Returns the manifest: shard's task, seq, path, n_docs, n_ids and start, its first id's place among all."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     tasks = max(1, min(1_000_000, -(-size // TASK_BYTES)))
     rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).repartitionByRange(tasks, "_key").sortWithinPartitions("_key", "_text")
 
