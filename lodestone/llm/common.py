@@ -67,3 +67,34 @@ def write_file(uri: str, data: bytes) -> None:
     with fs.open_output_stream(part, compression=None) as f:
         f.write(data)
     fs.move(part, path)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """What the optimizer takes df's size to be; for files, their size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def tasks_for(df: DataFrame, each: int) -> int:
+    """Number of tasks that get about `each` stored bytes."""
+    return max(1, min(1_000_000, -(-stored_bytes(df) // each)))
+
+
+def pieces_of(batches, most: int):
+    """Record batches of at most about `most` bytes, unless a single row is larger."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * most // max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
+def gathered(batches, most: int):
+    """Lists of record batches that hold about `most` bytes together."""
+    held, size = [], 0
+    for part in pieces_of(batches, most):
+        held.append(part)
+        size += part.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
