@@ -1,8 +1,8 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from lodestone.llm import bpe, mixing, quality_rules, token_files
+from lodestone.llm import bpe, media, mixing, quality_rules, token_files, warc
 
-_MODULES = (bpe, mixing, quality_rules, token_files)
+_MODULES = (bpe, media, mixing, quality_rules, token_files, warc)
 
 
 def queries():
