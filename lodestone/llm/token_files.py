@@ -18,7 +18,9 @@ texts and each has its row; null keys come first; an empty table has no shards;
 import io
 import json
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
 import public_tokenizers
@@ -28,12 +30,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from lodestone.llm.bpe import gather
-from lodestone.llm.common import opened, settled, shared_dir, table, write_file
+from lodestone.llm.common import gathered, opened, settled, shared_dir, table, tasks_for, write_file
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-CHUNK = 24_000_000
+CHUNK = 12_000_000
 #: Bytes of stored input for each task.
-TASK_BYTES = 16_000_000
+TASK_BYTES = 30_000_000
 END = 0
 LEAST = 32
 ROUNDS = 3
@@ -73,14 +75,14 @@ def compress(ids, base: int, least: int = LEAST, rounds: int = ROUNDS) -> Gramma
         if not len(at):
             break
         g = h[at]
-        shown = np.zeros(1 << HASH_BITS, np.int64)
-        shown[g] = at
-        mine = shown[g]
-        same = (s[at] == s[mine]) & (s[at + 1] == s[mine + 1])
+        pair = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
+        shown = np.zeros(1 << HASH_BITS, np.uint64)
+        shown[g] = pair
+        same = shown[g] == pair
         at, g = at[same], g[same]
-        count = np.bincount(g, minlength=1 << HASH_BITS)
-        chosen = np.flatnonzero(count >= least)
-        chosen = chosen[np.argsort(-count[chosen], kind="stable")][: (1 << 24) - first]
+        count_ = np.bincount(g, minlength=1 << HASH_BITS)
+        chosen = np.flatnonzero(count_ >= least)
+        chosen = chosen[np.argsort(-count_[chosen], kind="stable")][: (1 << 24) - first]
         if not len(chosen):
             break
         place = np.full(1 << HASH_BITS, len(chosen), np.uint32)
@@ -94,7 +96,7 @@ def compress(ids, base: int, least: int = LEAST, rounds: int = ROUNDS) -> Gramma
         ok[1:] &= ~near | (rank[1:] < rank[:-1])
         ok[:-1] &= ~near | (rank[:-1] <= rank[1:])
         at, rank = at[ok], rank[ok]
-        rules.append(np.stack([s[shown[chosen]], s[shown[chosen] + 1]], 1))
+        rules.append(np.stack([shown[chosen] >> np.uint64(32), shown[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         s[at] = first + rank
         left = np.ones(len(s), bool)
         left[at + 1] = False
@@ -178,21 +180,6 @@ class Shard:
         return got[start - int(places[block]) :][:n]
 
 
-def encode_parts(tokenizer, spaced: list[str], whole: list[str], joined: int = 200):
-    """(ids, starts) of the parts " " + x of spaced, then of those of whole.
-
-    No token crosses the start of a spaced part, so many are encoded in one string and told apart by their bytes."""
-    parts = [f" {x}" for x in spaced]
-    groups = ["".join(parts[i : i + joined]) for i in range(0, len(parts), joined)]
-    got = tokenizer.encode_batch_fast(groups + whole, add_special_tokens=False)
-    ids = [np.array(e.ids, np.uint32) for e in got]
-    flat = np.concatenate([*ids, np.empty(0, np.uint32)])
-    mine = sum(map(len, ids[: len(groups)]))
-    ends = np.cumsum(np.fromiter((len(x.encode("utf-8", "surrogatepass")) for x in parts), np.int64, len(parts)))
-    at = np.searchsorted(np.cumsum(tokenizer.bytes_of[flat[:mine]]), ends, "left") + 1
-    return flat, np.concatenate(([0], at, mine + np.cumsum([len(x) for x in ids[len(groups) :]], dtype=np.int64)))
-
-
 def load_tokenizer(path: str = TOKENIZER):
     import os
 
@@ -213,73 +200,87 @@ def load_tokenizer(path: str = TOKENIZER):
     return Loaded()
 
 
-def encode_texts(texts, tokenizer, end: int = END):
-    """(ids of all texts with the end id after each, ids per text)."""
-    import re
-    from collections import defaultdict
-    from itertools import count
-
-    loose = re.compile(r" (?:[\s\x1c-\x1f]|\Z)").search
-    spaced, whole = defaultdict(count().__next__), defaultdict(count().__next__)  # numbers in order of appearance
-    number = spaced.__getitem__
-    docs = []
-    for t in texts:
-        if not t:
-            docs.append(np.empty(0, np.int32))
-        elif loose(t):
-            docs.append(np.array([~whole[t]], np.int32))
-        else:
-            first, *rest = t.split(" ")
-            n = len(rest) + 1
-            which = np.fromiter(map(number, rest), np.int32, n - 1)
-            docs.append(np.concatenate((np.array([~whole[first]], np.int32), which)) if first else which)
-    flat, starts = encode_parts(tokenizer, list(spaced), list(whole))
-    stop = len(starts) - 1  # the end id is one more part
-    flat, starts = np.append(flat, np.uint32(end)), np.append(starts, starts[-1] + 1)
-    last = np.array([stop], np.int32)
-    which = np.concatenate([x for d in docs for x in (d, last)])
-    which = np.where(which < 0, len(spaced) + ~which, which)
-    ids, sizes = gather(flat, starts, which)
-    ends = np.cumsum([len(d) + 1 for d in docs])
-    return ids, np.add.reduceat(sizes, np.concatenate(([0], ends[:-1])))
+class Coder:
+    """Encodes chunks of texts. Parts that follow a space are kept with their ids, up to MOST of them; no token crosses their
+    start, so many new ones are encoded in one string and told apart by their bytes."""
+
+    MOST, JOINED, CALL = 1_000_000, 200, 20_000
+
+    def __init__(self, tokenizer, end: int = END):
+        import re
+
+        self.tokenizer, self.end = tokenizer, end
+        self.loose = re.compile(r" (?:[\s\x1c-\x1f]|\Z)").search
+        self.forget()
+
+    def forget(self):
+        self.spaced = defaultdict(count().__next__)  # numbers in order of appearance
+        self.flat, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def _ids(self, strings):
+        got = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in got]
+
+    def _learn(self):
+        new = [f" {x}" for x in islice(self.spaced, len(self.sizes), None)]
+        flats, sizes = [self.flat], [self.sizes]
+        for i in range(0, len(new), self.CALL):
+            some = new[i : i + self.CALL]
+            ids = np.concatenate(self._ids(["".join(some[j : j + self.JOINED]) for j in range(0, len(some), self.JOINED)]))
+            ends = np.cumsum(np.fromiter((len(x.encode("utf-8", "surrogatepass")) for x in some), np.int64, len(some)))
+            at = np.searchsorted(np.cumsum(self.tokenizer.bytes_of[ids]), ends, "left") + 1
+            flats.append(ids)
+            sizes.append(np.diff(at, prepend=0))
+        self.flat, self.sizes = np.concatenate(flats), np.concatenate(sizes)
+
+    def encode(self, texts):
+        """(ids of all texts with the end id after each, ids per text)."""
+        if len(self.spaced) > self.MOST:
+            self.forget()
+        number, whole, docs = self.spaced.__getitem__, defaultdict(count().__next__), []
+        for t in texts:
+            if not t:
+                docs.append(np.empty(0, np.int32))
+            elif self.loose(t):
+                docs.append(np.array([~whole[t]], np.int32))
+            else:
+                first, *rest = t.split(" ")
+                which = np.fromiter(map(number, rest), np.int32, len(rest))
+                docs.append(np.concatenate((np.array([~whole[first]], np.int32), which)) if first else which)
+        self._learn()
+        known = len(self.sizes)
+        lone = self._ids(list(whole))
+        flat = np.concatenate([self.flat, *lone, np.array([self.end], np.uint32)])  # the end id is one more part
+        starts = np.concatenate(([0], np.cumsum(np.concatenate((self.sizes, np.array([*map(len, lone), 1], np.int64))))))
+        last = np.array([known + len(lone)], np.int32)
+        which = np.concatenate([x for d in docs for x in (d, last)])
+        which = np.where(which < 0, known + ~which, which)
+        ids, sizes = gather(flat, starts, which)
+        ends = np.cumsum([len(d) + 1 for d in docs])
+        return ids, np.add.reduceat(sizes, np.concatenate(([0], ends[:-1])))
 
 
 def write_ids(docs: DataFrame, folder: str | None = None, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, chunk: int = CHUNK) -> DataFrame:
     """Writes the shards below folder (a new one in the shared folder by default). Returns the manifest: shard's task, seq, path, n_docs, n_ids and start, its first id's place among all."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    tasks = max(1, min(1_000_000, -(-size // TASK_BYTES)))
-    rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).repartitionByRange(tasks, "_key").sortWithinPartitions("_key", "_text")
+    rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).repartitionByRange(tasks_for(docs, TASK_BYTES), "_key").sortWithinPartitions("_key", "_text")
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder, task, seq = load_tokenizer(tokenizer), TaskContext.get().partitionId(), 0
-
-        def flush(held):
+        loaded, task = load_tokenizer(tokenizer), TaskContext.get().partitionId()
+        coder = Coder(loaded)
+        for seq, held in enumerate(gathered(batches, chunk)):
             t = pa.Table.from_batches(held)
-            ids, sizes = encode_texts([x for b in held for x in b.column(1).to_pylist()], coder)
+            ids, sizes = coder.encode([x for b in held for x in b.column(1).to_pylist()])
             keys = io.BytesIO()
             with pa.ipc.new_stream(keys, t.select([0]).schema) as w:
                 w.write_table(t.select([0]).combine_chunks())
             uri = f"{folder}/ids-{task:06d}-{seq:04d}.repair"
-            write_file(uri, pack(compress(ids, coder.size), keys.getvalue(), sizes))
-            return pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int64()), "seq": pa.array([seq], pa.int64()), "path": [uri], "n_docs": pa.array([len(sizes)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
-
-        held, n = [], 0
-        for batch in batches:
-            step = max(1, int(batch.num_rows * chunk // max(1, batch.nbytes)))
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
-                held.append(part)
-                n += part.nbytes
-                if n >= chunk:
-                    yield flush(held)
-                    held, n, seq = [], 0, seq + 1
-        if held:
-            yield flush(held)
+            write_file(uri, pack(compress(ids, loaded.size), keys.getvalue(), sizes))
+            yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int64()), "seq": pa.array([seq], pa.int64()), "path": [uri], "n_docs": pa.array([len(sizes)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
 
     manifest = settled(rows.mapInArrow(run, "task long, seq long, path string, n_docs long, n_ids long").withColumn("block", F.floor(F.col("task") / 1024)))
     blocks = manifest.groupBy("block").agg(F.sum("n_ids").alias("_n"))
