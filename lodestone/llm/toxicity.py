@@ -1,10 +1,12 @@
 """Toxicity as severity grades: cumulative-link ordinal regression over sparse word features.
 
-Features are the presence of words (runs of letters, lower case) of the whole text. On a bounded sample of labelled rows,
-words are screened by the likelihood ratio of their presence in toxic and other texts. Labels say toxic or not; the toxic
-texts of the sample are graded 1 to GRADES by the number of different screened words that speak for toxicity, cut at
+Features are the presence of words (runs of letters, lower case) of the whole text and of word beginnings of some lengths
+(marked by a final "~"), which catch stems under many endings. On a bounded sample of labelled rows, features are screened
+by the likelihood ratio of their presence in toxic and other texts. Labels say toxic or not; the toxic
+texts of the sample are graded 1 to GRADES by the number of different screened features that speak for toxicity, cut at
 quantiles. The regression then has one weight a word, shared by all grades, and ordered thresholds:
-P(grade <= k) = sigmoid(threshold_k - w . x). Its output is the expected grade; a text is toxic if P(grade >= 1) >= 0.5.
+P(grade <= k) = sigmoid(threshold_k - w . x). Its output is the expected grade. A text is toxic if w . x reaches the cut that
+gives the best F1 on the sample, looked for from half the first threshold up (the middle of the gap there).
 
 Edge cases: null and empty texts have no features; a sample without toxic or without other rows gives severity 0 to all;
 repeated rows count as often as they come in the sample and each has its row; other columns pass through, but for those of
@@ -22,43 +24,63 @@ from lodestone.llm.labelled import labelled_sample, scored
 
 #: Labelled rows that the model is fitted on, at most.
 BOUND = 30_000
-#: Words that the model has, at most, and the likelihood ratio that a word needs.
-WORDS, RATIO = 2000, 25.0
+#: Features that the model has, at most, and the likelihood ratio that each needs.
+WORDS, RATIO = 2000, 20.0
+#: Lengths of word beginnings.
+STEMS = (4, 5, 6)
 GRADES = 3
 PENALTY = 1e-3
 
 
+def features_of(text: str) -> set:
+    """The words of a text and the beginnings of its longer words."""
+    import re
+
+    words = set(re.findall(r"[^\W\d_]+", text.lower()))
+    return words.union(*({w[:k] + "~" for w in words if len(w) > k} for k in STEMS))
+
+
 @dataclass
 class Model:
     weights: dict
     thresholds: list
+    cut: float = 0.0
 
     def score(self, texts):
         """Expected grade, most likely side of the first threshold, grade for each text."""
         import re
 
         found, weights = re.compile(r"[^\W\d_]+").findall, self.weights
-        known = weights.keys()
-        s = np.array([sum(map(weights.__getitem__, known & set(found(t.lower())))) for t in texts], float)
+        known = {k for k in weights if k[-1:] != "~"}
+        begun = {k: {w[:-1] for w in weights if w[-1:] == "~" and len(w) == k + 1} for k in STEMS}
+
+        def total(text):  # as features_of(), without making what has no weight
+            words = set(found(text.lower()))
+            s = sum(map(weights.__getitem__, sorted(known & words)))
+            for k, stems in begun.items():
+                if stems:
+                    s += sum(weights[w + "~"] for w in sorted(stems & {w[:k] for w in words if len(w) > k}))
+            return s
+
+        s = np.array([total(t) for t in texts], float)
         if not self.thresholds:
             return {"severity": np.zeros(len(texts)), "p_toxic": np.zeros(len(texts)), "grade": np.zeros(len(texts), np.int32), "toxic": np.zeros(len(texts), bool)}
         above = 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - s[:, None], -500, 500)))
-        return {"severity": above.sum(1), "p_toxic": above[:, 0], "grade": (above >= 0.5).sum(1).astype(np.int32), "toxic": above[:, 0] >= 0.5}
+        return {"severity": above.sum(1), "p_toxic": above[:, 0], "grade": (above >= 0.5).sum(1).astype(np.int32), "toxic": s >= self.cut}
 
 
 def screened(sample: DataFrame) -> list:
     """(word, texts with it, toxic texts with it) of the words kept, best first; and the numbers of texts and of toxic ones."""
 
     def run(batches):
-        import re
         from collections import Counter
 
         import pyarrow as pa
 
-        found, all_, bad, n = re.compile(r"[^\W\d_]+").findall, Counter(), Counter(), [0, 0]
+        all_, bad, n = Counter(), Counter(), [0, 0]
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = set(found(t.lower()))
+                words = features_of(t)
                 all_.update(words)
                 n[0] += 1
                 if y:
@@ -119,6 +141,18 @@ def fit_ordinal(rows, grades, n_features: int, levels: int, penalty: float = PEN
     return p[:n_features], p[n_features] + np.concatenate(([0], np.cumsum(np.exp(p[n_features + 1 :]))))
 
 
+def best_cut(s, y, least: float) -> float:
+    """The cut of s, at least `least`, with the best F1 for y: the middle between the scores on its sides."""
+    order = np.argsort(-s, kind="stable")
+    s, hits = s[order], np.cumsum(y[order])
+    n = np.arange(1, len(s) + 1)
+    below = np.append(s[1:], -np.inf)
+    cuts = np.where(np.isfinite(below), (s + below) / 2, s)
+    f1 = np.where((s > below) & (cuts >= least), 2 * hits / (n + y.sum()), -1.0)
+    i = int(np.argmax(f1))
+    return float(cuts[i]) if f1[i] > 0 else max(least, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, levels: int = GRADES) -> Model:
     sample = labelled_sample(docs, labels, "toxic", bound)
     words, (n, bad) = screened(sample)
@@ -129,13 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, levels: int = GR
     speaks = {w for w, k, a in words if a / k > base}
 
     def present(batches):
-        import re
-
         import pyarrow as pa
 
-        found = re.compile(r"[^\W\d_]+").findall
         for b in batches:
-            rows = [sorted(map(number.__getitem__, number.keys() & set(found(t.lower())))) for t in b.column(0).to_pylist()]
+            rows = [sorted(map(number.__getitem__, number.keys() & features_of(t))) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), b.column(1)], names=["x", "y"])
 
     got = sample.select("text", "label").mapInArrow(present, "x array<int>, y int").collect()  # at most `bound` short lists
@@ -146,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, levels: int = GR
     grades = np.where(y > 0, 1 + np.searchsorted(cuts, weight, "left"), 0)
     grades = np.where(grades > 0, np.unique(grades, return_inverse=True)[1].reshape(-1) + (0 if (grades == 0).any() else 1), 0)
     w, th = fit_ordinal(rows, grades, len(words), int(grades.max()))
-    return Model({x: float(w[i]) for x, i in number.items() if math.fabs(w[i]) > 1e-6}, th.tolist())
+    s = np.array([w[r].sum() for r in rows])
+    return Model({x: float(w[i]) for x, i in number.items() if math.fabs(w[i]) > 1e-6}, th.tolist(), best_cut(s, y, float(th[0]) / 2))
 
 
 def grade(docs: DataFrame, model: Model, text: str = "text", keep=None) -> DataFrame:
