@@ -59,14 +59,36 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class NewFile:
+    """A file that appears under its name when it is whole and not empty: written under another name and renamed, so that a second attempt of a task can't spoil it."""
+
+    def __init__(self, uri: str):
+        self.fs, self.path = opened(uri)
+        self.part, self.size = f"{self.path}.{uuid.uuid4().hex}", 0
+
+    def __enter__(self):
+        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        self.out = self.fs.open_output_stream(self.part, compression=None)
+        return self
+
+    def write(self, data: bytes) -> int:
+        """Where data begins."""
+        at = self.size
+        self.out.write(data)
+        self.size += len(data)
+        return at
+
+    def __exit__(self, failed, *_):
+        self.out.close()
+        if failed or not self.size:
+            self.fs.delete_file(self.part)
+        else:
+            self.fs.move(self.part, self.path)
+
+
 def write_file(uri: str, data: bytes) -> None:
-    """Writes whole files only: under a name of its own first, then renamed, so that a second attempt of a task can't spoil it."""
-    fs, path = opened(uri)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part, compression=None) as f:
+    with NewFile(uri) as f:
         f.write(data)
-    fs.move(part, path)
 
 
 def stored_bytes(df: DataFrame) -> int:

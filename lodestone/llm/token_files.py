@@ -1,6 +1,6 @@
 """Token-ID files under Re-Pair grammar compression.
 
-Documents are range-partitioned and sorted by key; a task encodes them and writes shards of up to CHUNK characters. In a
+Documents are range-partitioned and sorted by key; a task encodes them and writes a file of shards of about CHUNK bytes of text. In a
 shard, frequent pairs of neighbouring ids are replaced by nonterminals again and again: each round counts pairs by hash,
 takes as many rules as there are pairs met LEAST times or more, settles overlaps in favour of the more frequent pair and
 rewrites the sequence. A shard stores the rules by round, their expansion lengths, the symbols (24 bits each) and the
@@ -30,15 +30,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from lodestone.llm.bpe import gather
-from lodestone.llm.common import gathered, opened, settled, shared_dir, table, tasks_for, write_file
+from lodestone.llm.common import NewFile, gathered, opened, settled, shared_dir, table, tasks_for
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-CHUNK = 12_000_000
+CHUNK = 6_000_000
 #: Bytes of stored input for each task.
 TASK_BYTES = 30_000_000
 END = 0
-LEAST = 32
-ROUNDS = 3
+LEAST = 16
+ROUNDS = 2
 STEP = 1024
 HASH_BITS = 20
 MAGIC = b"LSREPAIR1\n"
@@ -70,15 +70,20 @@ def compress(ids, base: int, least: int = LEAST, rounds: int = ROUNDS) -> Gramma
         if len(s) < 2 * least or first >= 1 << 24:
             break
         h = ((s[:-1] * np.uint32(0x9E3779B1)) ^ (s[1:] * np.uint32(0x85EBCA77))) >> np.uint32(32 - HASH_BITS)
+        h = h.astype(np.intp)
         heavy = np.bincount(h, minlength=1 << HASH_BITS) >= least
-        at = np.flatnonzero(heavy[h])
+        at = np.flatnonzero(heavy.take(h))
         if not len(at):
             break
-        g = h[at]
-        pair = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
+        g = h.take(at)
+        del h
+        pair = s.take(at).astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= s.take(at + 1)
         shown = np.zeros(1 << HASH_BITS, np.uint64)
         shown[g] = pair
-        same = shown[g] == pair
+        same = shown.take(g) == pair
+        del pair
         at, g = at[same], g[same]
         count_ = np.bincount(g, minlength=1 << HASH_BITS)
         chosen = np.flatnonzero(count_ >= least)
@@ -138,14 +143,17 @@ def pack(g: Grammar, keys: bytes, sizes) -> bytes:
 
 
 class Shard:
-    """A stored shard; ids(start, n) decodes a span from its symbols, all() everything."""
-
-    def __init__(self, uri: str):
-        fs, path = opened(uri)
-        self.file = fs.open_input_file(path)
-        size = int.from_bytes(self.file.read(len(MAGIC) + 4)[len(MAGIC) :], "little")
-        self.head = json.loads(self.file.read(size))
-        self.at = np.cumsum([len(MAGIC) + 4 + size, *self.head["sizes"]]).tolist()
+    """The shard at an offset of a file; ids(start, n) decodes a span from its symbols, all() everything."""
+
+    def __init__(self, file, offset: int = 0):
+        self.file = file
+        first = len(MAGIC) + 4
+        magic = file.read_at(first, offset)
+        if magic[:-4] != MAGIC:
+            raise ValueError("no shard here")
+        size = int.from_bytes(magic[-4:], "little")
+        self.head = json.loads(file.read_at(size, offset + first))
+        self.at = (offset + np.cumsum([first + size, *self.head["sizes"]])).tolist()
         rules = np.frombuffer(self._part(2), "<u4").reshape(-1, 2)
         cut = np.cumsum(self.head["rounds"])[:-1] if self.head["rounds"] else []
         self.grammar = Grammar(self.head["base"], np.split(rules, cut) if len(rules) else [], np.empty(0, np.uint32))
@@ -204,7 +212,7 @@ class Coder:
     """Encodes chunks of texts. Parts that follow a space are kept with their ids, up to MOST of them; no token crosses their
     start, so many new ones are encoded in one string and told apart by their bytes."""
 
-    MOST, JOINED, CALL = 1_000_000, 200, 20_000
+    MOST, JOINED, CALL = 600_000, 200, 20_000
 
     def __init__(self, tokenizer, end: int = END):
         import re
@@ -261,7 +269,7 @@ class Coder:
 
 
 def write_ids(docs: DataFrame, folder: str | None = None, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, chunk: int = CHUNK) -> DataFrame:
-    """Writes the shards below folder (a new one in the shared folder by default). Returns the manifest: shard's task, seq, path, n_docs, n_ids and start, its first id's place among all."""
+    """Writes the shards below folder (a new one in the shared folder by default). Returns the manifest: shard's task, seq, path and offset, n_docs, n_ids and start, its first id's place among all."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).repartitionByRange(tasks_for(docs, TASK_BYTES), "_key").sortWithinPartitions("_key", "_text")
@@ -271,18 +279,22 @@ def write_ids(docs: DataFrame, folder: str | None = None, key: str = "doc_id", t
         from pyspark import TaskContext
 
         loaded, task = load_tokenizer(tokenizer), TaskContext.get().partitionId()
-        coder = Coder(loaded)
-        for seq, held in enumerate(gathered(batches, chunk)):
-            t = pa.Table.from_batches(held)
-            ids, sizes = coder.encode([x for b in held for x in b.column(1).to_pylist()])
-            keys = io.BytesIO()
-            with pa.ipc.new_stream(keys, t.select([0]).schema) as w:
-                w.write_table(t.select([0]).combine_chunks())
-            uri = f"{folder}/ids-{task:06d}-{seq:04d}.repair"
-            write_file(uri, pack(compress(ids, loaded.size), keys.getvalue(), sizes))
-            yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int64()), "seq": pa.array([seq], pa.int64()), "path": [uri], "n_docs": pa.array([len(sizes)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
-
-    manifest = settled(rows.mapInArrow(run, "task long, seq long, path string, n_docs long, n_ids long").withColumn("block", F.floor(F.col("task") / 1024)))
+        coder, rows = Coder(loaded), []
+        uri = f"{folder}/ids-{task:06d}.repair"
+        with NewFile(uri) as file:
+            for seq, held in enumerate(gathered(batches, chunk)):
+                t = pa.Table.from_batches(held)
+                ids, sizes = coder.encode([x for b in held for x in b.column(1).to_pylist()])
+                keys = io.BytesIO()
+                with pa.ipc.new_stream(keys, t.select([0]).schema) as w:
+                    w.write_table(t.select([0]).combine_chunks())
+                rows.append((task, seq, uri, file.write(pack(compress(ids, loaded.size), keys.getvalue(), sizes)), len(sizes), len(ids)))
+                del held, t
+        names = ["task", "seq", "path", "offset", "n_docs", "n_ids"]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "path" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
+    manifest = settled(rows.mapInArrow(run, "task long, seq long, path string, offset long, n_docs long, n_ids long").withColumn("block", F.floor(F.col("task") / 1024)))
     blocks = manifest.groupBy("block").agg(F.sum("n_ids").alias("_n"))
     before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select("block", before("_n", W.orderBy("block")).alias("_before"))
@@ -299,8 +311,9 @@ def read_ids(manifest: DataFrame, key_type: T.DataType, key: str = "doc_id", out
         import pyarrow as pa
 
         for b in batches:
-            for path, first in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
-                shard = Shard(path)
+            for uri, offset, first in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                fs, path = opened(uri)
+                shard = Shard(fs.open_input_file(path), offset)
                 sizes = shard.sizes()
                 ids = shard.all().astype("<u4").tobytes()
                 ends = np.cumsum(sizes)
@@ -310,7 +323,7 @@ def read_ids(manifest: DataFrame, key_type: T.DataType, key: str = "doc_id", out
                 cols |= {"ids": lambda cut=cut: cut, "ids_crc32": lambda cut=cut: [zlib.crc32(x) for x in cut]}
                 yield from pa.table([shard.keys(), *[pa.array(cols[o](), pa.binary() if o == "ids" else pa.int64()) for o in outputs]], names=[key, *outputs]).combine_chunks().to_batches()
 
-    return manifest.select("path", "start").repartition(min(n, 100_000)).mapInArrow(run, schema)
+    return manifest.select("path", "offset", "start").repartition(min(n, 100_000)).mapInArrow(run, schema)
 
 
 def op9_token_files(spark, sf_dir):
