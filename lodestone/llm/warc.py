@@ -62,8 +62,8 @@ def archive(records: list[bytes]) -> bytes:
         every += 1
     raw = b""
     try:
-        raw = z.train_dictionary(DICTIONARY, records[::every]).as_bytes()
-    except z.ZstdError:
+        raw = z.train_dictionary(min(DICTIONARY, total // 16), records[::every]).as_bytes()
+    except (z.ZstdError, ValueError):
         pass  # too little to learn from
     out = io.BytesIO()
     out.write(MAGIC.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw)
@@ -107,7 +107,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = LEAST,
     folder = folder or shared_dir(pages.sparkSession)
     rows = pages.select("page_id", "url", "html").withColumn("_digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
     n = tasks_for(rows, TASK_BYTES)
-    rows = rows.join(roles(rows, least), ["page_id", "_digest"], "left").select("page_id", "url", "html", "_last").repartition(n, "page_id")
+    # dealt by the join's keys, so the join needs no second exchange and equal rows meet in one task
+    rows = rows.repartition(n, "page_id", "_digest").join(roles(rows, least), ["page_id", "_digest"], "left").select("page_id", "url", "html", "_last")
 
     def run(batches):
         import pyarrow as pa
