@@ -1,11 +1,45 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: toxic and poor documents go, one document of each near-duplicate class stays, sources are mixed to their
+target weights, and what is left is encoded.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all of docs; the first four return the columns of documents (the mix may
+repeat a document, up to three times), the last one row per mixed document with its ids."""
+
+from lodestone.llm import bpe, mixing, near_dedup, quality_ranking, toxicity
+from lodestone.llm.common import settled, table
+
+
+def drop_toxic(spark, docs, sf_dir):
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).where("not toxic").select(*docs.columns)
+
+
+def drop_poor(spark, docs, sf_dir):
+    model = quality_ranking.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_ranking.rank(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    return near_dedup.dedup(docs).select(*docs.columns)
+
+
+def mix_sources(spark, docs, sf_dir):
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def encode_texts(spark, docs, sf_dir):
+    return bpe.encode(docs, ("n_tokens", "ids", "ids_sha256", "decoded_sha256"), keep=[c for c in docs.columns if c != "text"])
+
+
+STAGES = [("toxicity", drop_toxic), ("quality classifier", drop_poor), ("near duplicates", drop_near_copies), ("mixing", mix_sources), ("byte-level BPE", encode_texts)]
+
+#: The stages learn from labels and compare sketches, which SQL can't express; tests/llm compare each with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = settled(docs)  # each stage reads what its predecessor has written
     return docs

@@ -20,13 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lodestone.llm.common import GAP, let, settled, table
+from lodestone.llm.common import GAP, let, settled, table, tasks_for
 
 BUCKETS = 1024
 REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARDS = 64
+#: Blocks of all sources together; there should be several for each shard.
 BLOCKS = 8192
+#: Stored bytes for each task that writes part of a shard.
+PART_BYTES = 32_000_000
 #: Rows of (source, bucket) sums up to which they are sent to every executor; each has under 100 bytes.
 SENT = 200_000
 
@@ -122,29 +125,32 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", weights=W
     aims = aims.withColumn("_blocks", F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round(F.col("target") * blocks / total))).otherwise(F.lit(0)).cast("long"))
     root = aims.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "_blocks"))), lambda x: x["_blocks"]).alias("quotas"))
     dealt = split_quotas(root, shards, seed).select("shard", F.posexplode("quotas").alias("idx", "_q"))
-    # where each shard's run of the source's permuted blocks ends
-    ends = dealt.withColumn("_end", F.sum("_q").over(W.partitionBy("idx").orderBy("shard").rowsBetween(W.unboundedPreceding, 0))).groupBy("idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "_end"))), lambda x: x["_end"]).alias("_ends"))
+    # which shard takes each of the source's permuted blocks: runs of the shards' quotas
+    shard_of = dealt.groupBy("idx").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("shard", "_q"))), lambda x: F.array_repeat(x["shard"], x["_q"].cast("int")))).alias("_shard_of"))
     marks = sums.withColumn("_at", F.sum("_n").over(W.partitionBy("_skey").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)))
     spots = marks.join(aims.drop("weight"), "_skey").select("_skey", "_bucket", "_n", "_rows", F.coalesce("_at", F.lit(0)).alias("_at"), "source_size", "idx", "target", "_blocks")
     few = by_source.count() * BUCKETS <= SENT
     sent = F.broadcast if few else (lambda x: x)
-    joined = placed.drop("source_size", "target", "idx").join(sent(spots), ["_skey", "_bucket"], "left").join(sent(ends), "idx", "left")
+    joined = placed.drop("source_size", "target", "idx").join(sent(spots), ["_skey", "_bucket"], "left").join(sent(shard_of), "idx", "left")
     inside = F.when(F.col("_rows") == 1, F.lit(0.5)).otherwise(F.col("_u") * BUCKETS - F.col("_bucket"))
     mid = F.col("_at") + inside * F.col("_n")
     place = lambda p: F.floor((mid + p * F.col("source_size")) * F.col("_blocks") / F.col("target")).cast("long")
-    runs = lambda b: F.aggregate("_ends", F.lit(0), lambda a, e: a + (e <= b).cast("int"))
     passes = F.transform(F.array(*[F.lit(p) for p in range(repeats)]), lambda p: F.struct(p.alias("pass"), place(p).alias("block")))
     taken = F.filter(passes, lambda x: x["block"] < F.col("_blocks"))
-    places = F.when((F.col("size") > 0) & (F.col("target") > 0), F.transform(taken, lambda x: F.struct(x["pass"].alias("pass"), x["block"].alias("block"), runs(x["block"]).alias("shard"))))
-    return joined.withColumn("places", F.coalesce(places, F.array().cast("array<struct<pass:int,block:bigint,shard:int>>"))).drop("_skey", "_bucket", "_u", "_n", "_rows", "_at", "_ends", "_blocks", "idx")
+    places = F.when((F.col("size") > 0) & (F.col("target") > 0), F.transform(taken, lambda x: F.struct(x["pass"].alias("pass"), x["block"].alias("block"), F.get("_shard_of", x["block"].cast("int")).alias("shard"))))
+    return joined.withColumn("places", F.coalesce(places, F.array().cast("array<struct<pass:int,block:bigint,shard:int>>"))).drop("_skey", "_bucket", "_u", "_n", "_rows", "_at", "_shard_of", "_blocks", "idx")
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, key: str = "doc_id", **options) -> DataFrame:
-    """The mixed rows: docs' columns, shard and pass; a row comes once for each pass that takes it. Shards are whole partitions, each shuffled on its own."""
+    """The mixed rows: docs' columns, shard and pass; a row comes once for each pass that takes it.
+
+    A shard is one partition, or several for a large input; each is shuffled on its own."""
     cols = [c for c in docs.columns if c not in ("shard", "pass")]
     plan = mix_plan(docs, key=key, shards=shards, seed=seed, **options)
     out = plan.select(*cols, F.explode("places").alias("_p")).select(*cols, F.col("_p.shard").alias("shard"), F.col("_p.pass").alias("pass"))
-    return out.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 1), F.col(key), F.col("pass")))
+    parts = -(-tasks_for(docs, PART_BYTES) // shards)
+    chance = F.xxhash64(F.lit(seed + 1), F.col(key), F.col("pass"))
+    return out.repartition(shards * parts, F.col("shard"), F.pmod(chance, F.lit(parts))).sortWithinPartitions("shard", chance)
 
 
 def op1_mixing(spark, sf_dir):
