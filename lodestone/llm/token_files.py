@@ -35,7 +35,7 @@ from lodestone.llm.common import NewFile, gathered, opened, settled, shared_dir,
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CHUNK = 6_000_000
 #: Bytes of stored input for each task.
-TASK_BYTES = 30_000_000
+TASK_BYTES = 15_000_000
 END = 0
 LEAST = 16
 ROUNDS = 2
@@ -212,18 +212,15 @@ class Coder:
     """Encodes chunks of texts. Parts that follow a space are kept with their ids, up to MOST of them; no token crosses their
     start, so many new ones are encoded in one string and told apart by their bytes."""
 
-    MOST, JOINED, CALL = 600_000, 200, 20_000
+    MOST, JOINED, CALL = 1_000_000, 1000, 20_000
 
     def __init__(self, tokenizer, end: int = END):
-        import re
-
         self.tokenizer, self.end = tokenizer, end
-        self.loose = re.compile(r" (?:[\s\x1c-\x1f]|\Z)").search
         self.forget()
 
     def forget(self):
         self.spaced = defaultdict(count().__next__)  # numbers in order of appearance
-        self.flat, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.flat, self.sizes, self.loose = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, bool)
 
     def _ids(self, strings):
         got = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
@@ -231,9 +228,15 @@ class Coder:
 
     def _learn(self):
         new = [f" {x}" for x in islice(self.spaced, len(self.sizes), None)]
+        loose = [i for i, x in enumerate(new) if x[1:2].isspace() or len(x) == 1]  # no token need start there
+        for i in loose:
+            new[i] = " "  # stands for nothing: such texts are encoded whole
+        flags = np.zeros(len(new), bool)
+        flags[loose] = True
+        self.loose = np.concatenate((self.loose, flags))
         flats, sizes = [self.flat], [self.sizes]
         for i in range(0, len(new), self.CALL):
-            some = new[i : i + self.CALL]
+            some = [x if x != " " else " ." for x in new[i : i + self.CALL]]
             ids = np.concatenate(self._ids(["".join(some[j : j + self.JOINED]) for j in range(0, len(some), self.JOINED)]))
             ends = np.cumsum(np.fromiter((len(x.encode("utf-8", "surrogatepass")) for x in some), np.int64, len(some)))
             at = np.searchsorted(np.cumsum(self.tokenizer.bytes_of[ids]), ends, "left") + 1
@@ -249,13 +252,15 @@ class Coder:
         for t in texts:
             if not t:
                 docs.append(np.empty(0, np.int32))
-            elif self.loose(t):
-                docs.append(np.array([~whole[t]], np.int32))
-            else:
-                first, *rest = t.split(" ")
-                which = np.fromiter(map(number, rest), np.int32, len(rest))
-                docs.append(np.concatenate((np.array([~whole[first]], np.int32), which)) if first else which)
+                continue
+            first, *rest = t.split(" ")
+            which = np.fromiter(map(number, rest), np.int32, len(rest))
+            docs.append(np.concatenate((np.array([~whole[first]], np.int32), which)) if first else which)
         self._learn()
+        if self.loose.any():
+            for i, d in enumerate(docs):
+                if self.loose[d[d >= 0]].any():
+                    docs[i] = np.array([~whole[texts[i]]], np.int32)
         known = len(self.sizes)
         lone = self._ids(list(whole))
         flat = np.concatenate([self.flat, *lone, np.array([self.end], np.uint32)])  # the end id is one more part
@@ -315,12 +320,12 @@ def read_ids(manifest: DataFrame, key_type: T.DataType, key: str = "doc_id", out
                 fs, path = opened(uri)
                 shard = Shard(fs.open_input_file(path), offset)
                 sizes = shard.sizes()
-                ids = shard.all().astype("<u4").tobytes()
+                view = memoryview(np.ascontiguousarray(shard.all(), "<u4")).cast("B")
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
                 cols = {"start": lambda starts=starts, first=first: starts + first, "n_tokens": lambda sizes=sizes: sizes}
-                cut = [ids[4 * a : 4 * e] for a, e in zip(starts.tolist(), ends.tolist(), strict=True)] if {"ids", "ids_crc32"} & set(outputs) else []
-                cols |= {"ids": lambda cut=cut: cut, "ids_crc32": lambda cut=cut: [zlib.crc32(x) for x in cut]}
+                cut = [view[4 * a : 4 * e] for a, e in zip(starts.tolist(), ends.tolist(), strict=True)] if {"ids", "ids_crc32"} & set(outputs) else []
+                cols |= {"ids": lambda cut=cut: [bytes(x) for x in cut], "ids_crc32": lambda cut=cut: [zlib.crc32(x) for x in cut]}
                 yield from pa.table([shard.keys(), *[pa.array(cols[o](), pa.binary() if o == "ids" else pa.int64()) for o in outputs]], names=[key, *outputs]).combine_chunks().to_batches()
 
     return manifest.select("path", "offset", "start").repartition(min(n, 100_000)).mapInArrow(run, schema)
