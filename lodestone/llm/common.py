@@ -11,7 +11,15 @@ GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 
 
+def lean(spark: SparkSession) -> None:
+    """Batches for Python of 1,000 rows instead of Spark's default of 10,000: texts are long, and a batch is held several times over. A value that the session has set itself stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and a lost executor costs nothing of it."""
     spark = df.sparkSession
+    lean(spark)
     at = f"{shared_dir(spark)}/table"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)

@@ -1,8 +1,8 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from lodestone.llm import bpe, media, mixing, near_dedup, quality_ranking, quality_rules, token_files, toxicity, warc
+from lodestone.llm import bpe, lm_scoring, media, mixing, near_dedup, quality_ranking, quality_rules, token_files, toxicity, warc
 
-_MODULES = (bpe, media, mixing, near_dedup, quality_ranking, quality_rules, token_files, toxicity, warc)
+_MODULES = (bpe, lm_scoring, media, mixing, near_dedup, quality_ranking, quality_rules, token_files, toxicity, warc)
 
 
 def queries():
