@@ -201,9 +201,10 @@ def load_tokenizer(path: str = TOKENIZER):
             self.encode_batch_fast = self.inner.encode_batch_fast
             self.size = self.inner.get_vocab_size()
             # in a byte-level vocabulary a token has a character for each byte
-            self.bytes_of = np.zeros(self.size, np.int64)
+            self.bytes_of, self.opens = np.zeros(self.size, np.int64), np.zeros(self.size, bool)
             for t, i in self.inner.get_vocab().items():
                 self.bytes_of[i] = len(t)
+                self.opens[i] = t[0] == "\u0120"  # stands for a space
 
     return Loaded()
 
