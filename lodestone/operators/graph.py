@@ -83,7 +83,7 @@ def mutual(edges: DataFrame) -> DataFrame:
 
 def _step(pr, src, dst, out, n, damping, variant, jump):
     """One iteration over arrays; jump: teleport shares of the nodes."""
-    flow = np.bincount(dst, damping * pr[src] / out[src], n)
+    flow = np.zeros(n) + np.bincount(dst, damping * pr[src] / out[src], n)
     lost = pr[out == 0].sum()
     if variant == "library":
         flow -= np.bincount(dst, (1 - damping) * pr[src], n) / n
@@ -117,7 +117,7 @@ def pagerank(files: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     variant "library": a target gets (1 - damping) / n only from nodes that neither link to it nor dangle, repeated edges
     lower a source's share but count once; "standard": the textbook form with the mass of dangling nodes spread evenly.
     personal (id, weight): where the standard variant's jumps lead. Graphs beyond one_task edges iterate as joins, their
-    lineage cut every few steps."""
+    lineage cut after each step."""
     if personal is not None and variant != "standard":
         raise ValueError("personal weights need the standard variant")
     nodes = files.select("id").distinct()
@@ -133,15 +133,16 @@ def pagerank(files: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     total = nodes.agg(F.sum("w").alias("w")).first()["w"]
     ranks = cut(nodes.join(out, "id", "left").select("id", "out", (F.col("w") / total).alias("jump"), F.lit(1.0 / n).alias("pr")))
     back = (1 - damping) / n if variant == "library" else 0.0
-    for i in range(iterations):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("pr"))), F.lit(0.0)).alias("d")).first()["d"]
-        flow = counted.join(ranks.select(F.col("id").alias("source_id"), "pr", "out"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum(damping * F.col("pr") / F.col("out") - back * F.col("pr")).alias("x"))
-        base = F.lit(damping * lost / n + (1 - damping) * (1 - lost) / n) if variant == "library" else F.col("jump") * (damping * lost + 1 - damping)
-        ranks = ranks.join(flow, "id", "left").select("id", "out", "jump", (F.coalesce("x", F.lit(0.0)) + base).alias("pr"))
-        if i % 5 == 4 or i == iterations - 1:
-            ranks = cut(ranks)
-            s = ranks.agg(F.sum("pr").alias("s")).first()["s"]
-            ranks = ranks.withColumn("pr", F.col("pr") / s)
+    for _ in range(iterations):
+        mass = ranks.agg(F.sum("pr").alias("s"), F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("pr"))), F.lit(0.0)).alias("lost")).first()
+        lost, linked = mass["lost"] / mass["s"], 1 - mass["lost"] / mass["s"]
+        share = F.col("pr") / mass["s"]  # ranks are brought to the sum 1 as they are read
+        sent = ranks.select(F.col("id").alias("source_id"), share.alias("pr"), "out")
+        flow = counted.join(sent, "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum(damping * F.col("pr") / F.col("out") - back * F.col("pr")).alias("x"))
+        base = F.lit(damping * lost / n + (1 - damping) * linked / n) if variant == "library" else F.col("jump") * (damping * lost + 1 - damping)
+        ranks = cut(ranks.drop("pr").join(flow, "id", "left").select("id", "out", "jump", (F.coalesce("x", F.lit(0.0)) + base).alias("pr")))
+    s = ranks.agg(F.sum("pr").alias("s")).first()["s"]
+    ranks = ranks.withColumn("pr", F.col("pr") / s)
     return ranks.select("id", "pr")
 
 

@@ -5,18 +5,18 @@ files: one row per source file; symbols: one per declared name of a file; edges:
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-FILES = T.StructType.fromDDL("id long, path string, hash string, rank double, updated_at long, mtime long, summary string, when_to_use string, enriched_at long")
-SYMBOLS = T.StructType.fromDDL("file_id long, name string, kind string, is_exported boolean, line int, ref_count long")
-EDGES = T.StructType.fromDDL("source_id long, target_id long, edge_type string, specifier string")
-RUNS = T.StructType.fromDDL("id long, git_commit string, git_dirty boolean, timestamp string, layer string, dataset string, language string, metrics string, config string")
-CASES = T.StructType.fromDDL("repo string, repo_url string, language string, index_db string, cases array<struct<id:string,query:string,expected_files:array<struct<path:string,relevance:int>>>>")
+FILES = "id long, path string, hash string, rank double, updated_at long, mtime long, summary string, when_to_use string, enriched_at long"
+SYMBOLS = "file_id long, name string, kind string, is_exported boolean, line int, ref_count long"
+EDGES = "source_id long, target_id long, edge_type string, specifier string"
+RUNS = "id long, git_commit string, git_dirty boolean, timestamp string, layer string, dataset string, language string, metrics string, config string"
+CASES = "repo string, repo_url string, language string, index_db string, cases array<struct<id:string,query:string,expected_files:array<struct<path:string,relevance:int>>>>"
 
 
-def with_missing(df: DataFrame, schema: T.StructType) -> DataFrame:
+def with_missing(df: DataFrame, schema: str) -> DataFrame:
     """df in the order of schema, columns that an older table lacks as nulls."""
     from pyspark.sql import functions as F
 
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)])
 
 
 def cut(df: DataFrame) -> DataFrame:
