@@ -104,7 +104,7 @@ def shingles(texts, size: int = SHINGLE):
 def darts(hashes, sizes, k: int, weights: str = "set"):
     """Signatures: a row of k 64-bit darts for every text; texts without shingles have zeros.
 
-    A dart is its rank in fixed point (40 bits) above 24 bits of its hash, so the least number is the earliest dart."""
+    A dart is its rank in fixed point (16 bits before the point, 24 after) above 24 bits of its hash, so the least number is the earliest dart."""
     n = len(sizes)
     doc = np.repeat(np.arange(n), sizes)
     order = np.lexsort((hashes, doc)) if len(doc) else np.empty(0, np.int64)
@@ -143,7 +143,7 @@ def darts(hashes, sizes, k: int, weights: str = "set"):
                 x, rank, ds = x[inside], rank[inside], dd[inside]
                 y = mix(x)
                 coordinate = ((y >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-                value = ((rank * 2.0**28).astype(np.uint64) << np.uint64(24)) | (y & np.uint64(0xFFFFFF))
+                value = ((rank * 2.0**24).astype(np.uint64) << np.uint64(24)) | (y & np.uint64(0xFFFFFF))
                 np.minimum.at(sig, ds * k + coordinate.astype(np.int64), value)
             c += 1
             at = at[cells[d[at]] > c]

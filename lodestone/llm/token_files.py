@@ -95,10 +95,12 @@ def compress(ids, base: int, least: int = LEAST, rounds: int = ROUNDS) -> Gramma
         rank = place[g]
         keep = rank < len(chosen)
         at, rank = at[keep], rank[keep]
-        # of overlapping pairs the more frequent wins, of equal ones the left
+        # of overlapping pairs the more frequent wins; in a run of equal ones every second from its left end
         near = at[1:] == at[:-1] + 1
-        ok = np.ones(len(at), bool)
-        ok[1:] &= ~near | (rank[1:] < rank[:-1])
+        equal = near & (rank[1:] == rank[:-1])
+        i = np.arange(len(at))
+        ok = (i - np.maximum.accumulate(np.where(np.concatenate(([True], ~equal)), i, 0))) % 2 == 0
+        ok[1:] &= ~near | (rank[1:] <= rank[:-1])
         ok[:-1] &= ~near | (rank[:-1] <= rank[1:])
         at, rank = at[ok], rank[ok]
         rules.append(np.stack([shown[chosen] >> np.uint64(32), shown[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))

@@ -32,10 +32,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, _digest, _last) of the pages whose payload of at least `least` bytes occurs more than once."""
-    ids = pages.select("page_id", "_digest").where(F.octet_length(F.coalesce("html", F.lit(""))) >= least)
+    """(_pid, _digest, _last) of the pages whose payload of at least `least` bytes occurs more than once."""
+    ids = pages.select("page_id", "_pid", "_digest").where(F.octet_length(F.coalesce("html", F.lit(""))) >= least)
     twice = ids.groupBy("_digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return ids.distinct().join(twice, "_digest")
+    return ids.select("_pid", "_digest").distinct().join(twice, "_digest")
 
 
 def name_of(page_id) -> str:
@@ -105,10 +105,11 @@ def parsed(data: bytes) -> dict:
 def write_warc(pages: DataFrame, folder: str | None = None, least: int = LEAST, archive_bytes: int = ARCHIVE) -> DataFrame:
     """Writes the archives below folder. Returns the manifest: path, n_records."""
     folder = folder or shared_dir(pages.sparkSession)
-    rows = pages.select("page_id", "url", "html").withColumn("_digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
+    # _pid: as null ids meet in no join, the least number stands for them
+    rows = pages.select("page_id", "url", "html").withColumn("_pid", F.coalesce("page_id", F.lit(-(2**63)))).withColumn("_digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
     n = tasks_for(rows, TASK_BYTES)
     # dealt by the join's keys, so the join needs no second exchange and equal rows meet in one task
-    rows = rows.repartition(n, "page_id", "_digest").join(roles(rows, least), ["page_id", "_digest"], "left").select("page_id", "url", "html", "_last")
+    rows = rows.repartition(n, "_pid", "_digest").join(roles(rows, least), ["_pid", "_digest"], "left").select("page_id", "url", "html", "_last")
 
     def run(batches):
         import pyarrow as pa
