@@ -61,6 +61,22 @@ def pct_change(base: Column, now: Column) -> Column:
     return F.when(base > 0, 100.0 * (now - base) / base).otherwise(0.0)
 
 
+def reduction_pct(base: Column, now: Column) -> Column:
+    return -pct_change(base, now)
+
+
+def score_dataset(files, symbols, edges, cases: DataFrame) -> DataFrame:
+    """Metrics per case of ranking all files by each case's query. cases: (case_id, query, path, relevance), a row an expected path; cases without keywords are left out."""
+    from lodestone.functions.text import keywords
+    from lodestone.operators.relevance import direct_scores, expanded_scores, file_exports
+
+    queries = cases.select(F.col("case_id").alias("query_id"), "query").distinct().where(F.size(keywords(F.col("query"))) > 0)
+    found = expanded_scores(files, edges, direct_scores(file_exports(files, symbols), queries))
+    results = found.select(F.col("query_id").alias("case_id"), "path", "score")
+    expected = cases.join(queries.select(F.col("query_id").alias("case_id")), "case_id", "left_semi").where("path is not null")
+    return case_metrics(results, expected.select("case_id", "path", "relevance"))
+
+
 def compare_runs(before: DataFrame, after: DataFrame, metric: str = "ndcg") -> DataFrame:
     b, a = before.select("dataset", F.col(metric).alias("before")), after.select("dataset", F.col(metric).alias("after"))
     return b.join(a, "dataset").select("dataset", "before", "after", (F.col("after") - F.col("before")).alias("delta"), pct_change(F.col("before"), F.col("after")).alias("pct"))

@@ -31,23 +31,24 @@ def candidates(imports: DataFrame, rules=None) -> DataFrame:
     for prefix, target in rules or []:
         rest = F.substring("specifier", F.lit(len(prefix) + 1), F.length("specifier"))
         bases.append(F.when(~relative & F.startswith("specifier", F.lit(prefix)), joined(F.lit(target), rest)))
+    # each base is a column of its own, computed once and used by all its forms
+    based = imports.withColumns({f"_b{i}": b for i, b in enumerate(bases)})
     forms = []
-    for base in bases:
-        stems = [base]
+    for base in (F.col(f"_b{i}") for i in range(len(bases))):
         for old, news in ALIASES.items():
             stem = F.substring(base, F.lit(1), F.length(base) - len(old))
             forms += [F.when(base.endswith(old), F.concat(stem, F.lit(new))) for new in news]
-        forms += stems + [F.concat(base, F.lit(e)) for e in EXTENSIONS]
+        forms += [base, *(F.concat(base, F.lit(e)) for e in EXTENSIONS)]
         forms += [F.concat(base, F.when(base == "", F.lit("")).otherwise(F.lit("/")), F.lit(f"index{e}")) for e in EXTENSIONS]
-    return imports.withColumn("_c", F.array(*forms)).select(*imports.columns, F.posexplode("_c").alias("priority", "candidate")).where("candidate is not null")
+    return based.withColumn("_c", F.array(*forms)).select(*imports.columns, F.posexplode("_c").alias("priority", "candidate")).where("candidate is not null")
 
 
 def resolve(imports: DataFrame, paths: DataFrame, rules=None) -> DataFrame:
     """imports with target: the candidate of least priority among paths (path); imports without one are left out."""
-    keyed = imports.withColumn("_row", F.struct(*imports.columns))
-    found = candidates(keyed.select("path", "specifier", "_row"), rules).join(paths.select(F.col("path").alias("candidate")).distinct(), "candidate")
-    first = found.groupBy("_row").agg(F.min_by("candidate", "priority").alias("target"))
-    return imports.withColumn("_row", F.struct(*imports.columns)).join(first, "_row").select(*imports.columns, "target")
+    wanted = imports.select("path", "specifier").distinct()
+    found = candidates(wanted, rules).join(paths.select(F.col("path").alias("candidate")).distinct(), "candidate")
+    first = found.groupBy("path", "specifier").agg(F.min_by("candidate", "priority").alias("target"))
+    return imports.join(first, ["path", "specifier"]).select(*imports.columns, "target")
 
 
 def import_edges(imports: DataFrame, reexports: DataFrame, paths: DataFrame, rules=None) -> DataFrame:
