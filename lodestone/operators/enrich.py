@@ -104,6 +104,25 @@ def parse_reply(text: str) -> dict:
     return {"summary": doc["summary"], "when_to_use": doc["when_to_use"]}
 
 
+def poll(check, first: float = 5.0, growth: float = 1.5, cap: float = 15.0, timeout: float = 600.0, clock=time.monotonic, sleep=time.sleep):
+    """check() until it gives something other than None: after 5 s, then ever longer, 15 s at most, for 600 s."""
+    began, wait = clock(), first
+    while (got := check()) is None:
+        if clock() - began + wait > timeout:
+            raise TimeoutError("batch was not done in time")
+        sleep(wait)
+        wait = min(wait * growth, cap)
+    return got
+
+
+def batch_texts(operation: dict) -> list[str]:
+    """Texts of a finished batch in the order of its requests, from any of the three places where replies stand."""
+    response = operation.get("response", operation)
+    rows = response.get("inlinedResponses", response.get("responses", response.get("results", [])))
+    rows = rows.get("inlinedResponses", []) if isinstance(rows, dict) else rows
+    return [json.dumps(r.get("response", r)) for r in rows]
+
+
 def describe(asked: DataFrame, provider: Provider, concurrency: int = 4, size: int = BATCH) -> DataFrame:
     """(path, summary, when_to_use, error) from (path, prompt): batches of `size`, on `concurrency` tasks."""
 

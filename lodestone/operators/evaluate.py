@@ -8,6 +8,12 @@ from pyspark.sql.window import Window as W
 MARGIN = 0.01
 
 
+def only_cases(df: DataFrame, ids: str, column: str = "case_id") -> DataFrame:
+    """The rows of the cases named in a list with commas; all for an empty list."""
+    wanted = [x.strip() for x in ids.split(",") if x.strip()]
+    return df.where(F.col(column).cast("string").isin(wanted)) if wanted else df
+
+
 def ranked(results: DataFrame) -> DataFrame:
     """results (case_id, path, score, relevance) with position: by score, then path."""
     return results.withColumn("position", F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("score"), "path")))

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import enrich, evaluate, graph, index, lookup, relevance, resolve, sessions
+from lodestone.operators import enrich, evaluate, extract, graph, index, lookup, relevance, resolve, sessions
 from lodestone.sources import adapters as a
+from lodestone.tables import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -400,6 +401,44 @@ def resolve_imports(spark, d):
     return resolve.resolve(imports, paths)
 
 
+# --- parsing ---
+
+_MODULE = "'m' || {} || '.ts'"
+
+
+@query("parsed_imports", f"WITH {_EDGES} SELECT {_MODULE.format('source_id')} AS path, './m' || target_id AS source, CASE edge_type WHEN 'Import' THEN 'n' || specifier ELSE '*' END AS name, CASE edge_type WHEN 'Import' THEN 'Named' ELSE 'Namespace' END AS kind FROM edges WHERE edge_type <> 'ReExport'")
+def parsed_imports(spark, d):
+    return extract.import_rows(extract.parse_sources(a.code(spark, d)))
+
+
+@query("parsed_reexports", f"WITH {_EDGES} SELECT {_MODULE.format('source_id')} AS path, './m' || target_id AS source, 'a' AS local, 'n' || specifier AS exported FROM edges WHERE edge_type = 'ReExport'")
+def parsed_reexports(spark, d):
+    return extract.reexport_rows(extract.parse_sources(a.code(spark, d)))
+
+
+@query("parsed_symbols", f"WITH {_SYMBOLS} SELECT {_MODULE.format('file_id')} AS path, replace(name, '#', '_') AS name, CASE WHEN is_exported THEN kind ELSE 'Variable' END AS kind, is_exported FROM symbols")
+def parsed_symbols(spark, d):
+    rows = extract.symbol_rows(extract.parse_sources(a.code(spark, d)))
+    return rows.where("name like 'Supplier%'").select("path", "name", "kind", "is_exported")
+
+
+@query("parsed_signatures", f"""WITH {_SYMBOLS} SELECT {_MODULE.format('file_id')} AS path, CASE WHEN is_exported THEN 'export ' ELSE '' END || CASE kind WHEN 'Function' THEN 'function ' || replace(name, '#', '_') || '(a: string, b = `x$' WHEN 'Class' THEN 'class ' || replace(name, '#', '_') ELSE 'const ' || replace(name, '#', '_') END AS signature FROM symbols""")
+def parsed_signatures(spark, d):
+    return extract.parse_sources(a.code(spark, d)).select("path", F.explode("signatures").alias("signature"))
+
+
+@query("parsed_edges", f"WITH {_EDGES}, known AS (SELECT source_id AS id FROM edges UNION SELECT l_partkey FROM lineitem) SELECT {_MODULE.format('source_id')} AS source, {_MODULE.format('target_id')} AS target, edge_type, './m' || target_id AS specifier FROM edges WHERE target_id IN (FROM known)")
+def parsed_edges(spark, d):
+    parsed = cut(extract.parse_sources(a.code(spark, d)))  # three branches read it
+    return resolve.import_edges(extract.import_rows(parsed), extract.reexport_rows(parsed), parsed.select("path"))
+
+
+@query("node_set", f"WITH {_FILES}, {_EDGES} SELECT id FROM files UNION SELECT source_id FROM edges UNION SELECT target_id FROM edges")
+def node_set(spark, d):
+    e = a.edges(spark, d)
+    return a.files(spark, d).select("id").union(e.select("source_id")).union(e.select("target_id")).distinct()
+
+
 # --- evaluation ---
 
 
@@ -490,6 +529,16 @@ def list_scores(spark, d):
     return _rounded(a.read(spark, d, "benchmark").select("item_id", recall.alias("recall"), precision.alias("precision"), f1.alias("f1")), "recall", "precision", "f1")
 
 
+@query("chosen_cases", f"WITH {_RESULTS} SELECT case_id, round(mrr, 6) AS mrr FROM metrics WHERE case_id IN (1, 5, 7)")
+def chosen_cases(spark, d):
+    return _rounded(evaluate.case_metrics(evaluate.only_cases(a.ranked_results(spark, d), "1, 5,7")).select("case_id", "mrr"), "mrr")
+
+
+@query("session_flags", f"WITH {_SESSIONS} SELECT session, bool_or(tool = 'error') AS failed, count(DISTINCT arg) AS args, max(value) AS most FROM sessions GROUP BY session")
+def session_flags(spark, d):
+    return a.sessions(spark, d).groupBy("session").agg(F.bool_or(F.col("tool") == "error").alias("failed"), F.count_distinct("arg").alias("args"), F.max("value").alias("most"))
+
+
 _WIN = "w AS (SELECT *, row_number() OVER k AS n, lead(f1) OVER k AS f2, lead(tools) OVER k AS t2 FROM variants WINDOW k AS (PARTITION BY case_id ORDER BY f1 DESC, tools, variant)), win AS (SELECT case_id, CASE WHEN f2 IS NULL OR f1 > f2 + 0.01 OR tools < t2 THEN variant ELSE 'tie' END AS winner FROM w WHERE n = 1)"
 
 

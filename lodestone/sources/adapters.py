@@ -41,6 +41,21 @@ def sources(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"), F.col("doc_id").alias("id"))
 
 
+def code(spark, sf_dir):
+    """(path, content): a module of TypeScript per file, made of its import edges and symbols.
+
+    An edge becomes an import or re-export of one name by its type, a symbol a declaration by its kind."""
+    target = F.concat(F.lit("./m"), F.col("target_id").cast("string"))
+    name = F.concat(F.lit("n"), F.col("specifier"))
+    line = F.when(F.col("edge_type") == "Import", F.concat(F.lit("import { "), name, F.lit(" } from '"), target, F.lit("' // import x from 'y'"))).when(F.col("edge_type") == "ReExport", F.concat(F.lit("export { a as "), name, F.lit(" } from \""), target, F.lit('"'))).otherwise(F.concat(F.lit("import * as "), name, F.lit(" from '"), target, F.lit("';")))
+    imports = edges(spark, sf_dir).select(F.col("source_id").alias("id"), line.alias("line"))
+    n = F.replace("name", F.lit("#"), F.lit("_"))
+    declared = F.when(F.col("kind") == "Function", F.concat(F.lit("function "), n, F.lit("(a: string, b = `x${1}`) { return /[{]/ }"))).when(F.col("kind") == "Class", F.concat(F.lit("class "), n, F.lit(" { run() { } }"))).otherwise(F.concat(F.lit("const "), n, F.lit(" = { k: 'export const no = 1' }")))
+    body = symbols(spark, sf_dir).select(F.col("file_id").alias("id"), F.concat(F.when(F.col("is_exported"), "export ").otherwise(""), declared).alias("line"))
+    lines = imports.unionByName(body).groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("line"), asc=False), "\n").alias("content"))
+    return lines.select(F.concat(F.lit("m"), F.col("id").cast("string"), F.lit(".ts")).alias("path"), "content")
+
+
 def snapshots(spark, sf_dir):
     """(old, new) states of a corpus: some files gone, some new, some changed."""
     d = read(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"), "text", "doc_id")

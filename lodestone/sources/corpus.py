@@ -55,6 +55,21 @@ def scan(spark: SparkSession, root: str, ignore: str = "", extra_ignore: str = "
     return kept.select("path", text.alias("content"), F.sha2("content", 256).alias("hash"), F.unix_seconds("modificationTime").alias("mtime"), "length").where("content is not null")
 
 
+def is_ignored(text: str, folder: str) -> bool:
+    """Whether an ignore file lists a folder in one of its four spellings."""
+    return any(line.strip() in (folder, f"{folder}/", f"/{folder}", f"/{folder}/") for line in text.splitlines())
+
+
+def fixture(spark: SparkSession, root: str):
+    """The tables of an index, or None where there is none."""
+    from lodestone.operators.index import open_index
+
+    try:
+        return open_index(spark, root)
+    except FileNotFoundError:
+        return None
+
+
 def datasets(spark: SparkSession, path: str) -> DataFrame:
     """Graded cases, one row an expected path: (repo, language, case_id, query, path, relevance)."""
     d = spark.read.schema(CASES).json(path, multiLine=True)

@@ -118,4 +118,10 @@ def test_retries_and_pace():
     assert slept == [0.2]
     with pytest.raises(ValueError):
         enrich.provider_name("other", None, {})
+    ticks, left = [0.0], [None, None, "done"]
+    pause = lambda t: ticks.__setitem__(0, ticks[0] + t)
+    assert enrich.poll(lambda: left.pop(0), clock=lambda: ticks[0], sleep=pause) == "done" and ticks == [12.5]
+    with pytest.raises(TimeoutError):
+        enrich.poll(lambda: None, clock=lambda: ticks[0], sleep=pause)
+    assert [json.loads(t)["a"] for t in enrich.batch_texts({"response": {"inlinedResponses": [{"response": {"a": 1}}, {"a": 2}]}})] == [1, 2]
     assert enrich.provider_name(None, "k", {}) == ("gemini", "k")
