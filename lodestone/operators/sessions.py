@@ -35,10 +35,16 @@ def first_turn(calls: DataFrame, relevant: Column) -> DataFrame:
     return turned.groupBy("session").agg(F.min(F.when(relevant, F.col("turn"))).alias("first_relevant_turn"))
 
 
+#: Names looked for at once, and blocks of names up to which all are sent to every executor.
+NAMES, BLOCKS = 10_000, 100
+
+
 def mentions(texts: DataFrame, names: DataFrame, key: str = "id") -> DataFrame:
-    """(key, name) of the names that occur in each text: one expression over all names, which are few and sent to every executor."""
-    known = names.select(F.collect_set("name").alias("_names"))
-    return texts.join(F.broadcast(known), F.lit(True)).select(key, F.explode(F.filter("_names", lambda n: F.contains(F.col("text"), n))).alias("name"))
+    """(key, name) of the names that occur in each text. Names go in blocks of about NAMES; a text meets each block once, not each name."""
+    blocks = -(-max(1, names.count()) // NAMES)
+    known = names.distinct().groupBy(F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("_b")).agg(F.collect_list("name").alias("_names"))
+    known = F.broadcast(known) if blocks <= BLOCKS else known
+    return texts.join(known, F.lit(True)).select(key, F.explode(F.filter("_names", lambda n: F.contains(F.col("text"), n))).alias("name"))
 
 
 def usage(lines: DataFrame) -> DataFrame:
