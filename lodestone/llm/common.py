@@ -100,14 +100,19 @@ def write_file(uri: str, data: bytes) -> None:
         f.write(data)
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """What the optimizer takes df's size to be; for files, their size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def stored_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that df comes from; None if a part of it comes from elsewhere, whose size the optimizer doesn't know."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 2**60 else None
 
 
 def tasks_for(df: DataFrame, each: int) -> int:
-    """Number of tasks that get about `each` stored bytes."""
-    return max(1, min(1_000_000, -(-stored_bytes(df) // each)))
+    """Number of tasks that get about `each` stored bytes; the session's number of shuffle partitions if the size isn't known."""
+    size = stored_bytes(df)
+    if size is None:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(1_000_000, -(-size // each)))
 
 
 def pieces_of(batches, most: int):

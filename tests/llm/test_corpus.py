@@ -337,6 +337,20 @@ def test_windows_score_each_id_once():
 # --- pipeline ---
 
 
+def test_stages_on_odd_and_no_rows(spark, odd, none, data):
+    import corpus_pipeline
+
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for docs in (odd, none):
+            out = stage(spark, docs, data)
+            rows = out.collect()
+            assert i == 4 or out.columns == docs.columns
+            if docs is none:
+                assert not rows
+            elif i != 3:
+                assert len(rows) <= odd.count()
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
