@@ -39,7 +39,7 @@ RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 2.0, 20.0),
     Rule("symbols_to_words", "n_symbols", "n_words", most=0.1),
     Rule("stop_words", "n_stop_words", "n_words", least=0.02),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", most=0.3),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", most=0.4),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", most=0.3),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", most=0.9),
     Rule("repeated_words", "n_repeat_words", "n_words", most=0.3),
