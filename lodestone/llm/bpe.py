@@ -164,8 +164,11 @@ def gather(flat, starts, which):
     """flat[starts[w] : starts[w + 1]] for every w of which, one after the other, and the length of each."""
     sizes = (starts[1:] - starts[:-1])[which]
     ends = np.cumsum(sizes)
-    at = np.repeat(starts[:-1][which] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-    return flat[at], sizes
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(n, len(flat)) < 2**31 else np.int64  # half the memory to go through
+    at = np.repeat((starts[:-1][which] - (ends - sizes)).astype(kind), sizes)
+    at += np.arange(n, dtype=kind)
+    return flat.take(at), sizes
 
 
 def encode_texts(texts, merges, pattern):

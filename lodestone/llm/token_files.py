@@ -36,6 +36,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CHUNK = 6_000_000
 #: Bytes of stored input for each task.
 TASK_BYTES = 30_000_000
+#: Shards that a task reads.
+SHARDS_A_TASK = 4
 END = 0
 LEAST = 16
 ROUNDS = 2
@@ -97,9 +99,13 @@ def compress(ids, base: int, least: int = LEAST, rounds: int = ROUNDS) -> Gramma
         at, rank = at[keep], rank[keep]
         # of overlapping pairs the more frequent wins; in a run of equal ones every second from its left end
         near = at[1:] == at[:-1] + 1
-        equal = near & (rank[1:] == rank[:-1])
-        i = np.arange(len(at))
-        ok = (i - np.maximum.accumulate(np.where(np.concatenate(([True], ~equal)), i, 0))) % 2 == 0
+        later = np.flatnonzero(near & (rank[1:] == rank[:-1])) + 1  # those with an equal pair to their left; few
+        ok = np.ones(len(at), bool)
+        if len(later):
+            i = np.arange(len(later))
+            head = np.ones(len(later), bool)
+            head[1:] = later[1:] != later[:-1] + 1
+            ok[later[(i - np.maximum.accumulate(np.where(head, i, 0))) % 2 == 0]] = False
         ok[1:] &= ~near | (rank[1:] <= rank[:-1])
         ok[:-1] &= ~near | (rank[:-1] <= rank[1:])
         at, rank = at[ok], rank[ok]
@@ -218,7 +224,10 @@ class Coder:
     MOST, JOINED, CALL = 1_000_000, 1000, 20_000
 
     def __init__(self, tokenizer, end: int = END):
+        import re
+
         self.tokenizer, self.end = tokenizer, end
+        self.is_loose = re.compile(r" (?:[\s\x1c-\x1f]|\Z)").search
         self.forget()
 
     def forget(self):
@@ -231,20 +240,22 @@ class Coder:
 
     def _learn(self):
         new = [f" {x}" for x in islice(self.spaced, len(self.sizes), None)]
-        loose = [i for i, x in enumerate(new) if x[1:2].isspace() or len(x) == 1]  # no token need start there
-        for i in loose:
-            new[i] = " "  # stands for nothing: such texts are encoded whole
         flags = np.zeros(len(new), bool)
-        flags[loose] = True
-        self.loose = np.concatenate((self.loose, flags))
         flats, sizes = [self.flat], [self.sizes]
         for i in range(0, len(new), self.CALL):
-            some = [x if x != " " else " ." for x in new[i : i + self.CALL]]
-            ids = np.concatenate(self._ids(["".join(some[j : j + self.JOINED]) for j in range(0, len(some), self.JOINED)]))
-            ends = np.cumsum(np.fromiter((len(x.encode("utf-8", "surrogatepass")) for x in some), np.int64, len(some)))
+            some = new[i : i + self.CALL]
+            if self.is_loose("".join(some)):  # no token need start at such parts; texts that have them are encoded whole
+                for j, x in enumerate(some):
+                    if len(x) == 1 or x[1].isspace():
+                        flags[i + j], some[j] = True, " ."
+            strings = ["".join(some[j : j + self.JOINED]) for j in range(0, len(some), self.JOINED)]
+            ids = np.concatenate(self._ids(strings))
+            raw = np.frombuffer("".join(strings).encode("utf-8", "surrogatepass"), np.uint8)
+            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))  # a part's only space is its first byte
             at = np.searchsorted(np.cumsum(self.tokenizer.bytes_of[ids]), ends, "left") + 1
             flats.append(ids)
             sizes.append(np.diff(at, prepend=0))
+        self.loose = np.concatenate((self.loose, flags))
         self.flat, self.sizes = np.concatenate(flats), np.concatenate(sizes)
 
     def encode(self, texts):
@@ -256,7 +267,8 @@ class Coder:
             if not t:
                 docs.append(np.empty(0, np.int32))
                 continue
-            first, *rest = t.split(" ")
+            rest = t.split(" ")
+            first = rest.pop(0)
             which = np.fromiter(map(number, rest), np.int32, len(rest))
             docs.append(np.concatenate((np.array([~whole[first]], np.int32), which)) if first else which)
         self._learn()
@@ -331,7 +343,7 @@ def read_ids(manifest: DataFrame, key_type: T.DataType, key: str = "doc_id", out
                 cols |= {"ids": lambda cut=cut: [bytes(x) for x in cut], "ids_crc32": lambda cut=cut: [zlib.crc32(x) for x in cut]}
                 yield from pa.table([shard.keys(), *[pa.array(cols[o](), pa.binary() if o == "ids" else pa.int64()) for o in outputs]], names=[key, *outputs]).combine_chunks().to_batches()
 
-    return manifest.select("path", "offset", "start").repartition(min(n, 100_000)).mapInArrow(run, schema)
+    return manifest.select("path", "offset", "start").repartition(min(-(-n // SHARDS_A_TASK), 100_000)).mapInArrow(run, schema)
 
 
 def op9_token_files(spark, sf_dir):
