@@ -15,8 +15,12 @@ Verification. Edges are kept whose exact similarity over shingle hashes of 32 bi
 the least and one to the greatest member a text, then those of the other edges that lead from one class to another, which
 alone can change classes. Classes are connected components by alternating large and small stars; nothing is collected.
 
-Scope. Equal texts share a node. A link between two members of a bucket neither of which is its least or greatest is found
-through other buckets or members; see the recall test.
+Rest. Buckets whose other members (neither least nor greatest) are still of several classes are gone through in full: each
+such member's overlap with all others is counted from an inverted index of the bucket's shingles. A bucket of more than
+REST bytes of shingles is dealt into parts, and every two parts meet. So each two members of a bucket are in one class or
+have been compared. The work grows with the square of a bucket only where its texts are alike but below the threshold.
+
+Scope. Equal texts share a node.
 
 Edge cases: null and empty texts are equal to each other; whole texts are read; repeated rows and ties belong to one class;
 the class id is the least doc_id of the class (null only if all are); an empty table gives no rows; other columns pass
@@ -33,6 +37,8 @@ BANDS, ROWS = 24, 6
 #: Rows of narrow columns up to which a side of a join is sent to every executor; beyond, the join shuffles.
 SENT = 250_000
 CHUNK = 6_000_000
+#: Bytes of shingles of a part of a bucket.
+REST = 2_000_000
 #: Rank cells: their ends double up to 1 and go on in steps of 1, so no cell of unit weight expects more than one dart.
 _FIRST = (0.0625, 0.125, 0.25, 0.5, 1.0)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -238,6 +244,55 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.select("x", "y", "s", "t").mapInArrow(run, "x binary, y binary")
 
 
+def rest_of(nodes: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(band, h, root, node) of the members that are neither least nor greatest of their bucket, where these are of several classes."""
+    flat = nodes.select("node", F.posexplode("bands").alias("band", "h"))
+    ends = flat.groupBy("band", "h").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("n > 3").drop("n")
+    inner = flat.join(ends, ["band", "h"]).where("node <> a and node <> b").select("band", "h", "node")
+    inner = settled(inner.join(rooted, "node", "left").select("band", "h", "node", F.coalesce("root", "node").alias("root")))
+    several = inner.groupBy("band", "h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "h")
+    return inner.join(several, ["band", "h"], "left_semi")
+
+
+def linked(rest: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(x, y) that join the classes of a bucket's members: all pairs of different classes are compared, and one link is given for each two classes that become one."""
+
+    def run(t):
+        import pyarrow as pa
+
+        names, roots_ = t.column("node").to_pylist(), t.column("root").to_pylist()
+        codes = {r: i for i, r in enumerate(dict.fromkeys(roots_))}
+        cls = np.array([codes[r] for r in roots_])
+        x, y = [], []
+        if len(codes) > 1:
+            held = [np.frombuffer(s, "<u4") for s in t.column("shingles").to_pylist()]
+            size = np.array([len(s) for s in held])
+            doc = np.repeat(np.arange(len(held)), size)
+            number = np.unique(np.concatenate(held), return_inverse=True)[1]
+            post, first = doc[np.argsort(number, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(number))))
+            ends = np.cumsum(size)
+            for i in range(1, len(held)):
+                if (cls[:i] == cls[i]).all():
+                    continue
+                mine = number[ends[i] - size[i] : ends[i]]
+                many = first[mine + 1] - first[mine]
+                until = np.cumsum(many)
+                same = np.bincount(post[np.repeat(first[mine] - (until - many), many) + np.arange(int(until[-1]))], minlength=len(held))[:i]
+                for j in np.flatnonzero(same >= similarity * (size[:i] + size[i] - same) - 1e-9):
+                    if cls[j] != cls[i]:
+                        x.append(min(names[i], names[j]))
+                        y.append(max(names[i], names[j]))
+                        cls[cls == cls[j]] = cls[i]
+        return pa.table([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["x", "y"])
+
+    full = rest.join(sets, "node")
+    parts = full.groupBy("band", "h").agg(F.ceil(F.sum(F.octet_length("shingles")) / REST).cast("int").alias("parts"))
+    own, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("other")
+    dealt = full.join(parts, ["band", "h"]).select("band", "h", "node", "root", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = dealt.select("band", "h", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), "node", "root", "shingles")
+    return met.groupBy("band", "h", "i", "j").applyInArrow(run, "x binary, y binary").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes that have an edge: root is the least node of the connected component. Alternating large and small stars, a table a step."""
     edges = settled(edges.select("x", "y").where("x <> y"))
@@ -279,7 +334,14 @@ def roots(docs: DataFrame, signed: DataFrame, text: str = "text", key: str = "do
     side = lambda c: _sent(rooted.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), r)
     across = pairs.join(side("x"), "x", "left").join(side("y"), "y", "left").where(end("x") != end("y")).select("x", "y")
     more = settled(verified(across, sets, similarity))
-    return rooted if more.isEmpty() else components(links.union(more))
+    if not more.isEmpty():
+        links = links.union(more)
+        rooted = settled(components(links))
+    rest = settled(rest_of(nodes, rooted))
+    if rest.isEmpty():
+        return rooted
+    found = settled(linked(rest, sets, similarity))
+    return rooted if found.isEmpty() else components(links.union(found))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weights: str = "set") -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations, count
 
 import numpy as np
 import pytest
@@ -176,6 +177,35 @@ def test_weighted_signatures():
     assert (s[0] == s[1]).mean() == pytest.approx(2 / 6, abs=0.04)  # min sums 1 + 1, max sums 3 + 3
 
 
+def _family(rng, pairs=40, alone=160):
+    """Texts that share a passage, at about 0.74 of each other, and pairs among them at about 0.85; and the pairs' ids."""
+    passage, fresh = [f"p{i}" for i in range(300)], count()
+    new = lambda n: [f"n{next(fresh)}" for _ in range(n)]
+    texts = []
+    for i in range(alone + pairs):
+        own = new(52)
+        texts.append(passage + own)
+        if i < pairs:
+            texts.append(passage + own[:24] + new(28))
+    order = rng.permutation(len(texts)).tolist()
+    return [(i, " ".join(texts[j])) for i, j in enumerate(order)]
+
+
+@pytest.mark.parametrize("part", [2_000_000, 20_000])
+def test_pairs_inside_a_family_below_the_threshold(spark, monkeypatch, part):
+    monkeypatch.setattr(near_dedup, "REST", part, raising=False)
+    rows = _family(np.random.default_rng(7))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = {i: i for i, _ in rows}
+    for i, j in combinations(range(len(rows)), 2):
+        same = len(sets[i] & sets[j])
+        if same >= 0.8 * (len(sets[i]) + len(sets[j]) - same):
+            want[j] = want[i]
+    assert sum(i != c for i, c in want.items()) == 40
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_dedup_keeps_one_of_each(spark, odd, none):
     kept = near_dedup.dedup(odd)
     assert kept.columns == odd.columns
