@@ -3,7 +3,7 @@
 Documents are range-partitioned and sorted by key; a task encodes them and writes a file of shards of about CHUNK bytes of text. In a
 shard, frequent pairs of neighbouring ids are replaced by nonterminals again and again: each round counts pairs by hash,
 takes as many rules as there are pairs met LEAST times or more, settles overlaps in favour of the more frequent pair and
-rewrites the sequence. A shard stores the rules by round, their expansion lengths, the symbols (24 bits each) and the
+rewrites the sequence, until no pair is met LEAST times. A shard stores the rules by round, their expansion lengths, the symbols (24 bits each) and the
 expanded position of every STEP-th symbol, so a span of ids is decoded from its symbols alone.
 
 The first ids of shards follow from prefix sums over the manifest, in two levels of blocks.
@@ -40,7 +40,6 @@ TASK_BYTES = 30_000_000
 SHARDS_A_TASK = 4
 END = 0
 LEAST = 16
-ROUNDS = 2
 STEP = 1024
 HASH_BITS = 20
 MAGIC = b"LSREPAIR1\n"
@@ -65,12 +64,10 @@ class Grammar:
         return out
 
 
-def compress(ids, base: int, least: int = LEAST, rounds: int = ROUNDS) -> Grammar:
-    """Re-Pair in rounds. A round looks at one pair for each of 2**HASH_BITS hashes; those it passes over wait for the next."""
+def compress(ids, base: int, least: int = LEAST, rounds: int | None = None) -> Grammar:
+    """Re-Pair in rounds, until no pair is met `least` times or for so many rounds. A round looks at one pair for each of 2**HASH_BITS hashes; those it passes over wait for the next. Where all that it looks at are rare, it looks at the commonest pair of each hash."""
     s, rules, first = ids.astype(np.uint32), [], base
-    for _ in range(rounds):
-        if len(s) < 2 * least or first >= 1 << 24:
-            break
+    while len(s) > least and first < 1 << 24 and (rounds is None or len(rules) < rounds):
         h = ((s[:-1] * np.uint32(0x9E3779B1)) ^ (s[1:] * np.uint32(0x85EBCA77))) >> np.uint32(32 - HASH_BITS)
         h = h.astype(np.intp)
         heavy = np.bincount(h, minlength=1 << HASH_BITS) >= least
@@ -85,9 +82,15 @@ def compress(ids, base: int, least: int = LEAST, rounds: int = ROUNDS) -> Gramma
         shown = np.zeros(1 << HASH_BITS, np.uint64)
         shown[g] = pair
         same = shown.take(g) == pair
+        count_ = np.bincount(g[same], minlength=1 << HASH_BITS)
+        if count_.max() < least:
+            _, some, times = np.unique(pair, return_index=True, return_counts=True)
+            some = some[np.argsort(times, kind="stable")]  # the commonest is written last
+            shown[g[some]] = pair[some]
+            same = shown.take(g) == pair
+            count_ = np.bincount(g[same], minlength=1 << HASH_BITS)
         del pair
         at, g = at[same], g[same]
-        count_ = np.bincount(g, minlength=1 << HASH_BITS)
         chosen = np.flatnonzero(count_ >= least)
         chosen = chosen[np.argsort(-count_[chosen], kind="stable")][: (1 << 24) - first]
         if not len(chosen):
@@ -109,6 +112,8 @@ def compress(ids, base: int, least: int = LEAST, rounds: int = ROUNDS) -> Gramma
         ok[1:] &= ~near | (rank[1:] <= rank[:-1])
         ok[:-1] &= ~near | (rank[:-1] <= rank[1:])
         at, rank = at[ok], rank[ok]
+        used = np.bincount(rank, minlength=len(chosen)) > 0  # others have lost all their places
+        chosen, rank = chosen[used], (np.cumsum(used) - 1)[rank].astype(np.uint32)
         rules.append(np.stack([shown[chosen] >> np.uint64(32), shown[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         s[at] = first + rank
         left = np.ones(len(s), bool)

@@ -134,6 +134,18 @@ def test_grammar_round_trip(ids, tmp_path):
         assert len(g.symbols) < len(ids) / 1.5
 
 
+@pytest.mark.parametrize("bits", [20, 6])
+def test_grammar_leaves_no_frequent_pair(monkeypatch, bits):
+    monkeypatch.setattr(token_files, "HASH_BITS", bits)
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 5000, 200)
+    ids = np.concatenate([x for _ in range(60) for x in (rng.integers(0, 5000, 100), passage)]).astype(np.uint32)
+    g = token_files.compress(ids, 5000)
+    assert max(Counter(zip(g.symbols[:-1].tolist(), g.symbols[1:].tolist())).values()) < token_files.LEAST
+    assert g.lengths().max() >= 190  # nearly all of the passage is one symbol
+    assert token_files.expand(g).tolist() == ids.tolist()
+
+
 def test_token_file_query(spark, data):
     k = token_files.load_tokenizer()
     got = {r["doc_id"]: r for r in token_files.op9_token_files(spark, data).collect()}
