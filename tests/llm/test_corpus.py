@@ -367,6 +367,19 @@ def test_windows_score_each_id_once():
 # --- pipeline ---
 
 
+def test_successions_cover_all_training_texts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = np.array("the of and run running house houses light lighter river stone walk".split())
+    df = spark.createDataFrame([(i, " ".join(words[rng.integers(0, len(words), 40)])) for i in range(80)], "doc_id long, text string").coalesce(2)
+    train = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda *a, **k: train(*a, **k, steps=0))  # without steps, the sample has no part in the model
+    got = []
+    for sample in (3, 60):
+        monkeypatch.setattr(lm_scoring, "SAMPLE", sample)
+        got.append({r["doc_id"]: r["score"] for r in lm_scoring.score(df).collect()})
+    assert got[0] == pytest.approx(got[1], rel=1e-9)
+
+
 def test_stages_on_odd_and_no_rows(spark, odd, none, data):
     import corpus_pipeline
 
