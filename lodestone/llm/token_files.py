@@ -12,8 +12,8 @@ Encoding: a text is cut before every space that precedes a non-space character;
 distinct part is encoded once a shard by the tokenizers library and the parts' ids are joined. Texts that hold a space
 before other white space, or at their end, go to the library whole.
 
-Edge cases: null and empty texts have the end id only; whole texts of any length; rows with equal keys are ordered by their
-texts and each has its row; null keys come first; an empty table has no shards; other columns are not stored."""
+Edge cases: null and empty texts have the end id only; whole texts of any length; rows with equal keys are ordered by the
+hash of their texts and each has its row, and such rows are dealt over tasks like any others; null keys come first; an empty table has no shards; other columns are not stored."""
 
 import io
 import json
@@ -209,8 +209,7 @@ def load_tokenizer(path: str = TOKENIZER):
 
     class Loaded:
         def __init__(self):
-            self.inner = Tokenizer.from_file(path)
-            self.inner.encode_special_tokens = True  # their strings in a text are ordinary text
+            self.inner = Tokenizer.from_file(path)  # as it comes: the string of an added token in a text is that token
             self.encode_batch_fast = self.inner.encode_batch_fast
             self.size = self.inner.get_vocab_size()
             # in a byte-level vocabulary a token has a character for each byte
@@ -297,7 +296,9 @@ def write_ids(docs: DataFrame, folder: str | None = None, key: str = "doc_id", t
     """Writes the shards below folder (a new one in the shared folder by default). Returns the manifest: shard's task, seq, path and offset, n_docs, n_ids and start, its first id's place among all."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
-    rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).repartitionByRange(tasks_for(docs, TASK_BYTES), "_key").sortWithinPartitions("_key", "_text")
+    # one id, or no id, may be that of a third of all rows: the hash of the text parts such rows, and their places those that are equal in both
+    ends = ["_key", F.xxhash64("_text"), F.monotonically_increasing_id()]
+    rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).repartitionByRange(tasks_for(docs, TASK_BYTES), *ends).sortWithinPartitions("_key", F.xxhash64("_text"), "_text")
 
     def run(batches):
         import pyarrow as pa

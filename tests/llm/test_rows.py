@@ -106,15 +106,29 @@ def test_bpe_round_trip(odd, none):
 # --- token files ---
 
 
+def fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_added_tokens_are_ids_of_their_own():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z  <|endoftext|> ", " <|endoftext|><|endoftext|> w"]
+    ids, sizes = token_files.Coder(token_files.load_tokenizer()).encode(texts)
+    want = [fresh_tokenizer().encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 0]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
 def test_parts_equal_whole_texts():
-    k = token_files.load_tokenizer()
+    k, library = token_files.load_tokenizer(), fresh_tokenizer()
     texts = strange_texts() + [None]
     coder = token_files.Coder(k)
     for some in (texts[:150], texts[150:]):
         ids, sizes = coder.encode(some)
         ends = np.cumsum(sizes)
         for t, a, b in zip(some, ends - sizes, ends, strict=True):
-            assert ids[a:b].tolist() == k.inner.encode(t or "", add_special_tokens=False).ids + [0]
+            assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids + [0]
 
 
 @pytest.mark.parametrize("ids", [[], [1], [1, 2] * 500, [7] * 333, list(np.random.default_rng(1).integers(0, 30, 5000))])
@@ -147,15 +161,30 @@ def test_grammar_leaves_no_frequent_pair(monkeypatch, bits):
 
 
 def test_token_file_query(spark, data):
-    k = token_files.load_tokenizer()
+    library = fresh_tokenizer()
     got = {r["doc_id"]: r for r in token_files.op9_token_files(spark, data).collect()}
     start = 0
     for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect():
-        ids = np.array(k.inner.encode(r["text"], add_special_tokens=False).ids + [0], "<u4")
+        ids = np.array(library.encode(r["text"], add_special_tokens=False).ids + [0], "<u4")
         assert (got[r["doc_id"]]["start"], got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
 
 
+def test_rows_of_one_id_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "TASK_BYTES", 1)
+    monkeypatch.setattr(token_files, "tasks_for", lambda *_: 6)
+    rows = [(None if i % 3 else i, "same text" if i % 5 else f"text {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = token_files.write_ids(df)
+    assert manifest.agg({"n_docs": "max"}).first()[0] < 250
+    got = token_files.read_ids(manifest, df.schema["doc_id"].dataType, outputs=("start", "n_tokens", "ids")).orderBy("start").collect()
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    library = fresh_tokenizer()
+    want = Counter((i, tuple(library.encode(t, add_special_tokens=False).ids + [0])) for i, t in rows)
+    assert want == Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in got)
+    assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in got), key=lambda i: -1 if i is None else i)
+
+
 def test_token_files_of_odd_rows(spark, odd, none, folder):
     got = token_files.op9_token_files(spark, folder()).orderBy("start").collect()
     assert len(got) == odd.count()
