@@ -20,7 +20,7 @@ import json
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
-from itertools import count, islice
+from itertools import count
 
 import numpy as np
 import public_tokenizers
@@ -65,45 +65,48 @@ class Grammar:
 
 
 def compress(ids, base: int, least: int = LEAST, rounds: int | None = None) -> Grammar:
-    """Re-Pair in rounds, until no pair is met `least` times or for so many rounds. A round looks at one pair for each of 2**HASH_BITS hashes; those it passes over wait for the next. Where all that it looks at are rare, it looks at the commonest pair of each hash."""
+    """Re-Pair in rounds, until no pair is met `least` times or for so many rounds. A round looks at one pair for each of at most 2**HASH_BITS hashes; those it passes over wait for the next. Where all that it looks at are rare, it looks at the commonest pair of each hash.
+
+    A pair of old symbols is never newly made, so a place is looked at again only while its pair may be frequent or once a neighbour is replaced."""
     s, rules, first = ids.astype(np.uint32), [], base
+    at = None  # places of the pairs to look at; None is all
     while len(s) > least and first < 1 << 24 and (rounds is None or len(rules) < rounds):
-        h = ((s[:-1] * np.uint32(0x9E3779B1)) ^ (s[1:] * np.uint32(0x85EBCA77))) >> np.uint32(32 - HASH_BITS)
-        h = h.astype(np.intp)
-        heavy = np.bincount(h, minlength=1 << HASH_BITS) >= least
-        at = np.flatnonzero(heavy.take(h))
-        if not len(at):
+        left, right = (s[:-1], s[1:]) if at is None else (s.take(at), s.take(at + 1))
+        bits = min(HASH_BITS, 2 + len(left).bit_length())  # tables no larger than what is counted in them
+        h = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - bits)
+        heavy = np.flatnonzero((np.bincount(h, minlength=1 << bits) >= least).take(h))
+        if not len(heavy):
             break
-        g = h.take(at)
-        del h
-        pair = s.take(at).astype(np.uint64)
+        g = h.take(heavy)
+        pair = left.take(heavy).astype(np.uint64)
         pair <<= np.uint64(32)
-        pair |= s.take(at + 1)
-        shown = np.zeros(1 << HASH_BITS, np.uint64)
+        pair |= right.take(heavy)
+        at = heavy.astype(np.int32) if at is None else at.take(heavy)
+        del h, left, right, heavy
+        shown = np.zeros(1 << bits, np.uint64)
         shown[g] = pair
         same = shown.take(g) == pair
-        count_ = np.bincount(g[same], minlength=1 << HASH_BITS)
+        count_ = np.bincount(g[same], minlength=1 << bits)
         if count_.max() < least:
             _, some, times = np.unique(pair, return_index=True, return_counts=True)
             some = some[np.argsort(times, kind="stable")]  # the commonest is written last
             shown[g[some]] = pair[some]
             same = shown.take(g) == pair
-            count_ = np.bincount(g[same], minlength=1 << HASH_BITS)
+            count_ = np.bincount(g[same], minlength=1 << bits)
         del pair
-        at, g = at[same], g[same]
         chosen = np.flatnonzero(count_ >= least)
         chosen = chosen[np.argsort(-count_[chosen], kind="stable")][: (1 << 24) - first]
         if not len(chosen):
             break
-        place = np.full(1 << HASH_BITS, len(chosen), np.uint32)
+        place = np.full(1 << bits, len(chosen), np.uint32)
         place[chosen] = np.arange(len(chosen), dtype=np.uint32)
         rank = place[g]
-        keep = rank < len(chosen)
-        at, rank = at[keep], rank[keep]
+        keep = same & (rank < len(chosen))
+        to, rank = at[keep], rank[keep]
         # of overlapping pairs the more frequent wins; in a run of equal ones every second from its left end
-        near = at[1:] == at[:-1] + 1
+        near = to[1:] == to[:-1] + 1
         later = np.flatnonzero(near & (rank[1:] == rank[:-1])) + 1  # those with an equal pair to their left; few
-        ok = np.ones(len(at), bool)
+        ok = np.ones(len(to), bool)
         if len(later):
             i = np.arange(len(later))
             head = np.ones(len(later), bool)
@@ -111,35 +114,34 @@ def compress(ids, base: int, least: int = LEAST, rounds: int | None = None) -> G
             ok[later[(i - np.maximum.accumulate(np.where(head, i, 0))) % 2 == 0]] = False
         ok[1:] &= ~near | (rank[1:] <= rank[:-1])
         ok[:-1] &= ~near | (rank[:-1] <= rank[1:])
-        at, rank = at[ok], rank[ok]
+        to, rank = to[ok], rank[ok]
         used = np.bincount(rank, minlength=len(chosen)) > 0  # others have lost all their places
         chosen, rank = chosen[used], (np.cumsum(used) - 1)[rank].astype(np.uint32)
         rules.append(np.stack([shown[chosen] >> np.uint64(32), shown[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        s[at] = first + rank
-        left = np.ones(len(s), bool)
-        left[at + 1] = False
-        s = s[left]
+        s[to] = first + rank
+        stays, look = np.ones(len(s), bool), np.zeros(len(s), bool)
+        stays[to + 1] = False
+        look[at] = True
+        look[to] = True
+        before = to[to > 0] - 1
+        look[before] = True
+        look[before[~stays[before]] - 1] = True  # the left neighbour is itself a replaced pair
+        look = look[stays]
+        look[-1:] = False
+        s = s[stays]
+        at = np.flatnonzero(look).astype(np.int32)
         first += len(chosen)
     return Grammar(base, rules, s)
 
 
 def expand(g: Grammar, symbols=None):
-    """The ids that symbols (all of g's by default) stand for: rounds are undone from the last to the first."""
+    """The ids that symbols (all of g's by default) stand for: each rule's ids once, then one gathering."""
     s = g.symbols if symbols is None else symbols
-    last = g.base + sum(len(r) for r in g.rules)
-    for r in reversed(g.rules):
-        first = last - len(r)
-        at = np.flatnonzero((s >= first) & (s < last))
-        if len(at):
-            size = np.ones(len(s), np.int64)
-            size[at] = 2
-            out = np.repeat(s, size)
-            to = at + np.arange(len(at))
-            pair = r[s[at] - first]
-            out[to], out[to + 1] = pair[:, 0], pair[:, 1]
-            s = out
-        last = first
-    return s
+    flat, starts = np.arange(g.base, dtype=np.uint32), np.arange(g.base + 1)
+    for r in g.rules:
+        ids, sizes = gather(flat, starts, r.ravel())
+        flat, starts = np.concatenate((flat, ids)), np.concatenate((starts, starts[-1] + np.cumsum(sizes.reshape(-1, 2).sum(1))))
+    return gather(flat, starts, s)[0]
 
 
 def pack(g: Grammar, keys: bytes, sizes) -> bytes:
@@ -225,7 +227,7 @@ class Coder:
     """Encodes chunks of texts. Parts that follow a space are kept with their ids, up to MOST of them; no token crosses their
     start, so many new ones are encoded in one string and told apart by their bytes."""
 
-    MOST, JOINED, CALL = 1_000_000, 1000, 20_000
+    MOST, JOINED, CALL = 1_000_000, 200, 20_000
 
     def __init__(self, tokenizer, end: int = END):
         import re
@@ -235,15 +237,15 @@ class Coder:
         self.forget()
 
     def forget(self):
-        self.spaced = defaultdict(count().__next__)  # numbers in order of appearance
+        self.parts = None  # Arrow array in order of appearance
         self.flat, self.sizes, self.loose = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, bool)
 
     def _ids(self, strings):
         got = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in got]
 
-    def _learn(self):
-        new = [f" {x}" for x in islice(self.spaced, len(self.sizes), None)]
+    def _learn(self, parts):
+        new = [f" {x}" for x in parts]
         flags = np.zeros(len(new), bool)
         flats, sizes = [self.flat], [self.sizes]
         for i in range(0, len(new), self.CALL):
@@ -262,34 +264,48 @@ class Coder:
         self.loose = np.concatenate((self.loose, flags))
         self.flat, self.sizes = np.concatenate(flats), np.concatenate(sizes)
 
-    def encode(self, texts):
-        """(ids of all texts with the end id after each, ids per text)."""
-        if len(self.spaced) > self.MOST:
+    def _numbers(self, parts):
+        """Number of each part; new ones are learnt."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        coded = parts.dictionary_encode()
+        if self.parts is None or len(self.parts) > self.MOST:
             self.forget()
-        number, whole, docs = self.spaced.__getitem__, defaultdict(count().__next__), []
-        for t in texts:
-            if not t:
-                docs.append(np.empty(0, np.int32))
-                continue
-            rest = t.split(" ")
-            first = rest.pop(0)
-            which = np.fromiter(map(number, rest), np.int32, len(rest))
-            docs.append(np.concatenate((np.array([~whole[first]], np.int32), which)) if first else which)
-        self._learn()
-        if self.loose.any():
-            for i, d in enumerate(docs):
-                if self.loose[d[d >= 0]].any():
-                    docs[i] = np.array([~whole[texts[i]]], np.int32)
+            self.parts, new = coded.dictionary, coded.dictionary
+            number = np.arange(len(new), dtype=np.int32)
+        else:
+            at = pc.index_in(coded.dictionary, value_set=self.parts)
+            new = coded.dictionary.filter(at.is_null())
+            number = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+            number[number < 0] = len(self.parts) + np.arange(len(new), dtype=np.int32)
+            self.parts = pa.concat_arrays([self.parts, new])
+        self._learn(new.to_pylist())
+        return number[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def encode(self, texts):
+        """(ids of all texts with the end id after each, ids per text); texts is a list or an Arrow array."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        parts = pc.split_pattern(texts, " ")
+        ends, n = parts.offsets.to_numpy().astype(np.int64), len(texts)
+        which, first, whole = self._numbers(parts.values), ends[:-1], defaultdict(count().__next__)
+        loose = self.loose[which]
+        loose[first] = False
         known = len(self.sizes)
+        # after the known parts come one without ids, the end id, and what is encoded whole
+        lead = [known + 2 + whole[x] if x else known for x in parts.values.take(pa.array(first)).to_pylist()]
+        which[first] = lead
+        for d in np.unique(np.searchsorted(ends, np.flatnonzero(loose), "right") - 1):
+            which[ends[d] : ends[d + 1]] = known
+            which[ends[d]] = known + 2 + whole[texts[int(d)].as_py()]
         lone = self._ids(list(whole))
-        flat = np.concatenate([self.flat, *lone, np.array([self.end], np.uint32)])  # the end id is one more part
-        starts = np.concatenate(([0], np.cumsum(np.concatenate((self.sizes, np.array([*map(len, lone), 1], np.int64))))))
-        last = np.array([known + len(lone)], np.int32)
-        which = np.concatenate([x for d in docs for x in (d, last)])
-        which = np.where(which < 0, known + ~which, which)
-        ids, sizes = gather(flat, starts, which)
-        ends = np.cumsum([len(d) + 1 for d in docs])
-        return ids, np.add.reduceat(sizes, np.concatenate(([0], ends[:-1])))
+        flat = np.concatenate([self.flat, np.array([self.end], np.uint32), *lone])
+        starts = np.concatenate(([0], np.cumsum(np.concatenate((self.sizes, np.array([0, 1, *map(len, lone)], np.int64))))))
+        ids, sizes = gather(flat, starts, np.insert(which, ends[1:], known + 1))
+        return ids, np.add.reduceat(sizes, first + np.arange(n))
 
 
 def write_ids(docs: DataFrame, folder: str | None = None, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, chunk: int = CHUNK) -> DataFrame:
@@ -310,7 +326,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, key: str = "doc_id", t
         with NewFile(uri) as file:
             for seq, held in enumerate(gathered(batches, chunk)):
                 t = pa.Table.from_batches(held)
-                ids, sizes = coder.encode([x for b in held for x in b.column(1).to_pylist()])
+                ids, sizes = coder.encode(pa.concat_arrays([b.column(1) for b in held]))
                 keys = io.BytesIO()
                 with pa.ipc.new_stream(keys, t.select([0]).schema) as w:
                     w.write_table(t.select([0]).combine_chunks())
