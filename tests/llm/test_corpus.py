@@ -314,8 +314,8 @@ def check_base(rows, got):
 
 @pytest.fixture
 def quick(monkeypatch):
-    train = lm_scoring.train
-    monkeypatch.setattr(lm_scoring, "train", lambda *a, **k: train(*a, **k, steps=30, batch=64))
+    monkeypatch.setattr(lm_scoring, "BATCH", 64)
+    monkeypatch.setattr(lm_scoring.Trainer.run, "__defaults__", (64, 1e-2))
 
 
 def test_lm_query(spark, data, quick):
@@ -342,42 +342,143 @@ def test_lm_odd_rows(spark, odd, none, quick):
     check_base([(r["doc_id"], r["text"]) for r in held.collect()], lm_scoring.score(held).collect())
 
 
+def small_model(ids, doc, size=60, steps=5):
+    """A trained model over few ids, the last two of which are BEGIN and END."""
+    counts = np.bincount(ids, minlength=size) + 1
+
+    def follow(a, b, shape):
+        ok = (doc[1:] == doc[:-1]) & (b[ids[1:]] >= 0)
+        return np.bincount(a[ids[:-1]][ok] * shape[1] + b[ids[1:]][ok], minlength=shape[0] * shape[1]).reshape(shape).astype(float)
+
+    m = lm_scoring.untrained(counts, np.arange(size) % 2 == 0, follow)
+    t = lm_scoring.Trainer(m, 3)
+    t.run(ids, doc, steps, 32)
+    m.tables = t.p
+    return m, t
+
+
+def by_definition(m, ids, doc, i):
+    """(log probability of ids[i] given the ids before it, log of the opening classes' share), one window at a time."""
+    t, half, q = m.tables, m.window // 2, i - 1
+    keys = [j for j in range(max(0, (q // half - 1) * half), q + 1) if doc[j] == doc[q]]
+    s = np.array([t["q"][m.row[ids[q]]] @ t["k"][m.row[ids[j]]] / np.sqrt(lm_scoring.DIM) + t["bias"][q - j] for j in keys], float)
+    a = np.exp(s - s.max())
+    h = (a / a.sum()) @ t["v"][m.row[ids[keys]]]
+    p = np.exp(h @ t["out"] + t["last"][m.row[ids[q]]])
+    c = m.cls[ids[i]]
+    first, last = m.first_of[c], m.first_of[c + 1]
+    z = np.exp(t["inner"][first:last] @ h + t["inner_bias"][first:last])
+    return np.log(p[c] / p.sum()) + np.log(z[m.slot[ids[i]] - first] / z.sum()) + m.share[ids[i]], np.log(p[: lm_scoring.OPENING].sum() / p.sum())
+
+
 def test_windows_score_each_id_once():
     """Batched windows give what a window of its own gives each id."""
     rng = np.random.default_rng(0)
-    ids = rng.integers(0, 50, 300)
-    doc = np.repeat([0, 1, 2], [5, 150, 145])
-    counts = np.bincount(ids, minlength=60) + 1
-    m = lm_scoring.train(ids, doc, counts, np.arange(60) % 2 == 0, steps=5, batch=8)
-    lp, _ = m.predict(ids, doc, block=3)
-    half = m.window // 2
+    ids, doc = rng.integers(0, 50, 300), np.repeat([0, 1, 2], [5, 150, 145])
+    m, _ = small_model(ids, doc)
+    lp, more = m.predict(ids, doc, block=3, blocks_within=2)
     for i in (1, 4, 6, 40, 154, 156, 299):
         if doc[i] != doc[i - 1]:
-            assert lp[i] == 0
-            continue
-        q = i - 1
-        first = max(0, (q // half - 1) * half)
-        keys = [j for j in range(first, q + 1) if doc[j] == doc[q]]
-        s = np.array([m.q[m.row[ids[q]]] @ m.k[m.row[ids[j]]] / np.sqrt(m.q.shape[1]) + m.bias[q - j] for j in keys])
-        a = np.exp(s) / np.exp(s).sum()
-        logits = (a @ m.v[m.row[ids[keys]]]) @ m.out + m.last[m.row[ids[q]]]
-        assert lp[i] == pytest.approx(logits[m.cls[ids[i]]] - np.log(np.exp(logits).sum()), abs=1e-3)
-
-
-# --- pipeline ---
+            assert lp[i] == more[i] == 0
+        else:
+            want, opening = by_definition(m, ids, doc, i)
+            assert lp[i] == pytest.approx(want, abs=1e-3) and more[i] == pytest.approx(-opening, abs=1e-3)
 
 
-def test_successions_cover_all_training_texts(spark, monkeypatch):
+def test_probabilities_of_the_next_id_sum_to_one(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LIVE", 25)  # others share a vector
+    rng = np.random.default_rng(1)
+    m, _ = small_model(rng.integers(0, 50, 3000), np.repeat(np.arange(30), 100))
+    for n in (1, 7, 40):
+        before = rng.integers(0, 50, n)
+        ids = np.concatenate([np.append(before, x) for x in range(60)])
+        lp, _ = m.predict(ids, np.repeat(np.arange(60), n + 1))
+        # where a window begins depends on the place in the sequence, and so does how far back a long text's context goes
+        each = np.array([m.predict(np.append(before, x), np.zeros(n + 1, int))[0][n] for x in range(60)])
+        assert np.exp(each).sum() == pytest.approx(1, abs=1e-5)
+        assert n > 16 or lp[n :: n + 1] == pytest.approx(each, abs=1e-4)
+
+
+def test_training_lowers_the_loss():
+    rng = np.random.default_rng(2)
+    ids = (np.cumsum(rng.integers(1, 3, 6000)) % 40).astype(np.int64)  # each id is one or two above the last
+    _, t = small_model(ids, np.zeros(len(ids), int), steps=150)
+    assert np.mean(t.log[-10:]) < np.mean(t.log[:3]) - 0.08 and np.mean(t.log[-10:]) == pytest.approx(math.log(2), abs=0.05)
+
+
+def test_scores_by_definition(spark, monkeypatch):
+    """Whole scores, from counts and the model's tables, one word at a time."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(6)
+    words = np.array("The of and run running house houses LIGHT lighter river stone walk <|endoftext|> zzyzx naïve".split())
+    rows = [(i, " ".join(words[np.minimum(rng.geometric(0.2, rng.integers(0, 30)) - 1, len(words) - 1)])) for i in range(60)]
+    models = []
+    trained = lm_scoring.trained
+    monkeypatch.setattr(lm_scoring, "trained", lambda *a, **k: models.append(trained(*a, **k, steps=5)) or models[-1])
+    monkeypatch.setattr(lm_scoring, "HEAD", 6)  # some words meet their counts in the join
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    library, m = Tokenizer.from_file(lm_scoring.TOKENIZER), models[0]
+    begin, end = len(m.cls) - 2, len(m.cls) - 1
+    spelt = {w: library.encode(f" {w}", add_special_tokens=False).ids for _, t in rows for w in t.lower().split()}
+    known = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.lower().split())
+    ends = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)
+    mass = Counter({end: ends})
+    for w, n in known.items():
+        mass[spelt[w][0]] += n + 1
+    for d, t in rows[:12]:
+        tokens = [([*spelt[w]], known[w]) for w in t.lower().split()] + [([end], ends)]
+        ids = np.array([begin, *(x for s, _ in tokens for x in s)])
+        at, total = 1, 0.0
+        steps = [by_definition(m, ids, np.zeros(len(ids), int), i) for i in range(1, len(ids))]
+        for k, (s, c) in enumerate(tokens):
+            lp = sum(steps[at - 1 + j][0] for j in range(len(s))) - steps[at - 1][1]
+            first = steps[at - 1][0] - steps[at - 1][1]
+            if k + 1 < len(tokens):
+                lp += steps[at - 1 + len(s)][1]  # the word's ending
+            counts = np.exp(first) * (c + 1) / (mass[s[0]] + 1)
+            total += math.log10(lm_scoring.MIX * counts + (1 - lm_scoring.MIX) * np.exp(lp))
+            at += len(s)
+        assert got[d] == pytest.approx(total, abs=1e-3)
+
+
+def test_all_training_texts_are_trained_on(spark, monkeypatch):
+    """Every task trains, and the averaged tables do better on texts of all of them."""
     rng = np.random.default_rng(4)
     words = np.array("the of and run running house houses light lighter river stone walk".split())
-    df = spark.createDataFrame([(i, " ".join(words[rng.integers(0, len(words), 40)])) for i in range(80)], "doc_id long, text string").coalesce(2)
-    train = lm_scoring.train
-    monkeypatch.setattr(lm_scoring, "train", lambda *a, **k: train(*a, **k, steps=0))  # without steps, the sample has no part in the model
-    got = []
-    for sample in (3, 60):
-        monkeypatch.setattr(lm_scoring, "SAMPLE", sample)
-        got.append({r["doc_id"]: r["score"] for r in lm_scoring.score(df).collect()})
-    assert got[0] == pytest.approx(got[1], rel=1e-9)
+    rows = [(i, " ".join(words[(np.arange(60) * (1 + i % 3) + rng.integers(0, 2)) % len(words)])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(lm_scoring, "tasks_for", lambda *_: 5)
+    monkeypatch.setattr(lm_scoring, "ADDED", 2)
+    trained, means = lm_scoring.trained, []
+    for steps in (0, 40):
+        monkeypatch.setattr(lm_scoring, "trained", lambda *a, n=steps, **k: trained(*a, **k, steps=n))
+        means.append(sum(r["score"] for r in lm_scoring.score(df).collect()))
+    assert means[1] > means[0] * 0.7
+
+
+def test_stored_ids_and_words(spark):
+    """Ids, words and their sizes come back as they are, words of many ids among them."""
+    import pyarrow as pa
+
+    k = lm_scoring.load_tokenizer()
+    texts = ["", "one two  three\tfour", "#-" * 700 + " x", " \n", "ünï \x85y \xa0 z", "a" * 3000]
+    speller = lm_scoring.Speller(k)
+    for _ in range(2):  # the second time from what is kept
+        ids, sizes, words = speller.words(pa.array(texts))
+        assert words.tolist() == [len(WORD.findall(t)) for t in texts]
+        want = [k.inner.encode(f" {w}", add_special_tokens=False).ids for t in texts for w in WORD.findall(t)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pa.Table.from_pandas(lm_scoring.encoded(df, k.size).orderBy("doc_id").toPandas()).combine_chunks().to_batches()[0]
+    back, per_text = lm_scoring.read_ids(got.column("ids"), k.size)
+    again, per = lm_scoring.read_sizes(got.column("sizes"))
+    assert back.tolist() == ids.tolist() and again.tolist() == sizes.tolist() and per.tolist() == words.tolist() and per_text.sum() == len(ids)
+    keys = lm_scoring.word_keys(ids, sizes)
+    assert len(set(keys.tolist())) == len({tuple(x) for x in want})
+
+
+# --- pipeline ---
 
 
 def test_stages_on_odd_and_no_rows(spark, odd, none, data):
