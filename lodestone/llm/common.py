@@ -68,6 +68,36 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def one_thread() -> None:
+    """Matrix products of this process on one thread, where numpy comes with OpenBLAS: the tasks share the cores already, and on small products further threads only wait for each other."""
+    import ctypes
+    import glob
+    import os
+
+    import numpy as np
+
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list, by: list, how: str = "inner", counts: DataFrame | None = None, parts: int = 256) -> DataFrame:
+    """left.join(right, keys, how) in which no key of left lies in one task: a key that comes in 1/parts of left's rows or more (there are at most `parts` such keys) is dealt by the columns `by` over as many tasks as its share asks, and its rows of right go to all of these.
+
+    counts (keys, n) are the rows of left by key, if they are known. Both sides are read twice: they should be stored."""
+    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    if total < 8 * parts:
+        return left.join(right, keys, how)
+    hot = F.broadcast(counts.where(F.col("n") * parts >= total).select(*keys, F.ceil(F.col("n") * parts / total).cast("int").alias("_parts")))
+    dealt = left.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copied = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [*keys, "_part"], how).drop("_part")
+
+
 class NewFile:
     """A file that appears under its name when it is whole and not empty: written under another name and renamed, so that a second attempt of a task can't spoil it."""
 

@@ -1,7 +1,7 @@
 """Near-duplicate classes by DartMinHash signatures, banded buckets and exact verification.
 
-Signatures. A text is the set (or, with weights="count", the multiset) of its shingles of SHINGLE words; a text of fewer words
-is one shingle. Darts are thrown at the plane of (element and unit of weight) x rank: a hash of element, unit and rank cell
+Signatures. A text is the multiset (or, with weights="set", the set) of its shingles of SHINGLE words, a shingle's weight being
+how often it comes; a text of fewer words is one shingle. Darts are thrown at the plane of (element and unit of weight) x rank: a hash of element, unit and rank cell
 says how many darts lie in that cell (Poisson), and a hash of each dart gives its rank and its coordinate. A text sees the
 darts inside its weights up to a rank at which about k ln k + 2k of them are expected, and keeps the earliest for each of its
 k coordinates; texts that miss a coordinate look twice as far. Two texts agree in a coordinate with the probability of
@@ -11,9 +11,11 @@ Candidates. Each band of ROWS coordinates is hashed to a bucket. A bucket links
 member (grouped minimum and maximum, combined before the shuffle), never to all others: two edges a member, however large a
 bucket is. At similarity 0.8 a pair shares a bucket with probability 1 - (1 - 0.8^6)^24 = 0.9993.
 
-Verification. Edges are kept whose exact similarity over shingle hashes of 32 bits reaches the threshold: first one edge to
+Verification. Edges are kept whose exact similarity (sum of the lesser weights over sum of the greater ones, over shingle hashes of
+64 bits) reaches the threshold: first one edge to
 the least and one to the greatest member a text, then those of the other edges that lead from one class to another, which
-alone can change classes. Classes are connected components by alternating large and small stars; nothing is collected.
+alone can change classes. Classes are connected components by alternating large and small stars; nothing is collected. Joins on a
+bucket, a hub or a class deal frequent keys over tasks.
 
 Rest. Buckets whose other members (neither least nor greatest) are still of several classes are gone through in full: each
 such member's overlap with all others is counted from an inverted index of the bucket's shingles. A bucket of more than
@@ -30,9 +32,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import pieces_of, settled, table
+from lodestone.llm.common import pieces_of, settled, spread_join, table
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Weight of a shingle: how often it comes ("count") or 1 ("set").
+WEIGHTS = "count"
 BANDS, ROWS = 24, 6
 #: Rows of narrow columns up to which a side of a join is sent to every executor; beyond, the join shuffles.
 SENT = 250_000
@@ -107,7 +111,7 @@ def shingles(texts, size: int = SHINGLE):
     return h, sizes
 
 
-def darts(hashes, sizes, k: int, weights: str = "set"):
+def darts(hashes, sizes, k: int, weights: str = WEIGHTS):
     """Signatures: a row of k 64-bit darts for every text; texts without shingles have zeros.
 
     A dart is its rank in fixed point (16 bits before the point, 24 after) above 24 bits of its hash, so the least number is the earliest dart."""
@@ -175,7 +179,7 @@ def text_key(text: str = "text"):
     return F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
 
 
-def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weights: str = "set") -> DataFrame:
+def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weights: str = WEIGHTS) -> DataFrame:
     """(doc_id, node, bands): the id of each row, its text's key and its bands' keys; texts without words have no bands."""
     id_type = docs.schema[key].dataType.simpleString()
 
@@ -193,8 +197,8 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", bands:
     return rows_.mapInArrow(run, f"doc_id {id_type}, node binary, bands array<bigint>")
 
 
-def shingle_sets(texts: DataFrame, size: int = SHINGLE, weights: str = "set") -> DataFrame:
-    """(node, shingles) from (node, text): the sorted different shingle hashes, 32 bits each; with weights="count", repeats are numbered."""
+def shingle_sets(texts: DataFrame, size: int = SHINGLE, weights: str = WEIGHTS) -> DataFrame:
+    """(node, shingles) from (node, text): the sorted different shingle hashes, 64 bits each; with weights="count", repeats are numbered."""
 
     def run(batches):
         import pyarrow as pa
@@ -209,17 +213,27 @@ def shingle_sets(texts: DataFrame, size: int = SHINGLE, weights: str = "set") ->
                     new = np.ones(len(part), bool)
                     new[1:] = part[1:] != part[:-1]
                     part = mix(part + _MUL * (i - np.maximum.accumulate(np.where(new, i, 0))).astype(np.uint64))
-                out.append(np.unique((part >> np.uint64(32)).astype("<u4")).tobytes())
+                out.append(np.unique(part).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "shingles"])
 
     return texts.select("node", "text").mapInArrow(run, "node binary, shingles binary")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(x, y) with x < y from (node, bands): each member of a bucket with the bucket's least and greatest, each pair once."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(band, h, a, b, n) from (node, bands): the least and the greatest member of every bucket of several, and how many it has."""
     flat = nodes.select("node", F.posexplode("bands").alias("band", "h"))
-    ends = flat.groupBy("band", "h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    pairs = flat.join(ends, ["band", "h"]).select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("node").alias("y")), F.struct(F.col("node").alias("x"), F.col("b").alias("y")))).alias("p")).select("p.*")
+    return flat.groupBy("band", "h").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("a < b")
+
+
+def members(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """(band, h, node, a, b) of the members of the buckets in ends."""
+    flat = nodes.select("node", F.posexplode("bands").alias("band", "h"))
+    return spread_join(flat, ends.select("band", "h", "a", "b"), ["band", "h"], ["node"], counts=ends.select("band", "h", "n"))
+
+
+def candidates(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """(x, y) with x < y: each member of a bucket with the bucket's least and greatest, each pair once."""
+    pairs = members(nodes, ends).select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("node").alias("y")), F.struct(F.col("node").alias("x"), F.col("b").alias("y")))).alias("p")).select("p.*")
     return pairs.where("x < y").distinct()
 
 
@@ -232,7 +246,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
         for b in batches:
             keep = []
             for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(s, "<u4"), np.frombuffer(t, "<u4")
+                p, q = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
                 if min(len(p), len(q)) < similarity * max(len(p), len(q)):
                     keep.append(False)
                     continue
@@ -240,18 +254,18 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
                 keep.append(same >= similarity * (len(p) + len(q) - same) - 1e-9)
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("t")), "y")
+    # a hub is the x or the y of many pairs; its set goes to all tasks that hold some of them
+    with_x = spread_join(pairs, sets.select(F.col("node").alias("x"), F.col("shingles").alias("s")), ["x"], ["y"])
+    both = spread_join(with_x, sets.select(F.col("node").alias("y"), F.col("shingles").alias("t")), ["y"], ["x"], counts=pairs.groupBy("y").agg(F.count("*").alias("n")))
     return both.select("x", "y", "s", "t").mapInArrow(run, "x binary, y binary")
 
 
-def rest_of(nodes: DataFrame, rooted: DataFrame) -> DataFrame:
+def rest_of(nodes: DataFrame, ends: DataFrame, rooted: DataFrame) -> DataFrame:
     """(band, h, root, node) of the members that are neither least nor greatest of their bucket, where these are of several classes."""
-    flat = nodes.select("node", F.posexplode("bands").alias("band", "h"))
-    ends = flat.groupBy("band", "h").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("n > 3").drop("n")
-    inner = flat.join(ends, ["band", "h"]).where("node <> a and node <> b").select("band", "h", "node")
+    inner = members(nodes, ends.where("n > 3")).where("node <> a and node <> b").select("band", "h", "node")
     inner = settled(inner.join(rooted, "node", "left").select("band", "h", "node", F.coalesce("root", "node").alias("root")))
-    several = inner.groupBy("band", "h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "h")
-    return inner.join(several, ["band", "h"], "left_semi")
+    several = inner.groupBy("band", "h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b")
+    return spread_join(inner, several.select("band", "h"), ["band", "h"], ["node"], "left_semi", several.select("band", "h", "n"))
 
 
 def linked(rest: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -265,7 +279,7 @@ def linked(rest: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) ->
         cls = np.array([codes[r] for r in roots_])
         x, y = [], []
         if len(codes) > 1:
-            held = [np.frombuffer(s, "<u4") for s in t.column("shingles").to_pylist()]
+            held = [np.frombuffer(s, "<u8") for s in t.column("shingles").to_pylist()]
             size = np.array([len(s) for s in held])
             doc = np.repeat(np.arange(len(held)), size)
             number = np.unique(np.concatenate(held), return_inverse=True)[1]
@@ -285,10 +299,10 @@ def linked(rest: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) ->
                         cls[cls == cls[j]] = cls[i]
         return pa.table([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["x", "y"])
 
-    full = rest.join(sets, "node")
+    full = settled(rest.join(sets, "node"))
     parts = full.groupBy("band", "h").agg(F.ceil(F.sum(F.octet_length("shingles")) / REST).cast("int").alias("parts"))
     own, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("other")
-    dealt = full.join(parts, ["band", "h"]).select("band", "h", "node", "root", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = spread_join(full, parts, ["band", "h"], ["node"]).select("band", "h", "node", "root", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     met = dealt.select("band", "h", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), "node", "root", "shingles")
     return met.groupBy("band", "h", "i", "j").applyInArrow(run, "x binary, y binary").distinct()
 
@@ -299,13 +313,13 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.union(edges.select("y", "x")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = settled(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         # large star: the greater neighbours of u go to the least of u and its neighbours
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct()
+        large = spread_join(both.where("v > u"), least.select("u", "m"), ["u"], ["v"], counts=least.select("u", "n"))
+        large = settled(large.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct())
         # small star: u and its lesser neighbours go to the least of them
-        large = settled(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("y"), F.col("m").alias("x")), F.struct(F.col("v").alias("y"), F.col("m").alias("x")))).alias("p")).select("p.x", "p.y").where("x < y").distinct()
+        low = settled(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, low.select("u", "m"), ["u"], ["v"], counts=low.select("u", "n")).select(F.explode(F.array(F.struct(F.col("u").alias("y"), F.col("m").alias("x")), F.struct(F.col("v").alias("y"), F.col("m").alias("x")))).alias("p")).select("p.x", "p.y").where("x < y").distinct()
         edges = settled(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -318,13 +332,17 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SENT else df
 
 
-def roots(docs: DataFrame, signed: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE, weights: str = "set") -> DataFrame:
+def roots(docs: DataFrame, signed: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE, weights: str = WEIGHTS) -> DataFrame:
     """(node, root) of the texts that are linked to others."""
     nodes = signed.groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("node", "r.doc_id", "r.bands").where("size(bands) > 0")
-    pairs = settled(candidates(nodes))
-    near = settled(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+    ends = settled(buckets(nodes))
+    pairs = settled(candidates(nodes, ends))
+    near = settled(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"))
     n = near.count()
-    named = docs.select(text_key(text).alias("node"), F.coalesce(docs[text], F.lit("")).alias("text")).join(_sent(near, n), "node", "left_semi")
+    # of equal texts one row is read again; repeated rows are as one
+    named = docs.select(text_key(text).alias("node"), docs[key].alias("_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    same_row = [named["node"] == F.col("_near.node"), F.col("_id").eqNullSafe(F.col("_near.doc_id"))]
+    named = named.join(_sent(near, n).alias("_near"), same_row, "left_semi")
     sets = settled(shingle_sets(named, size, weights).dropDuplicates(["node"]))
     best = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").union(pairs.groupBy("x").agg(F.max("y").alias("y")).select("x", "y")).distinct()
     links = settled(verified(best, sets, similarity))
@@ -337,23 +355,23 @@ def roots(docs: DataFrame, signed: DataFrame, text: str = "text", key: str = "do
     if not more.isEmpty():
         links = links.union(more)
         rooted = settled(components(links))
-    rest = settled(rest_of(nodes, rooted))
+    rest = settled(rest_of(nodes, ends, rooted))
     if rest.isEmpty():
         return rooted
     found = settled(linked(rest, sets, similarity))
     return rooted if found.isEmpty() else components(links.union(found))
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weights: str = "set") -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weights: str = WEIGHTS) -> DataFrame:
     """(doc_id, node, class_id): a row for each of docs, with its text's key and the least id of its class."""
     signed = settled(signatures(docs, text, key, bands, rows, size, weights))
     rooted = settled(roots(docs, signed, text, key, similarity, size, weights))
     n = rooted.count()
-    least = signed.groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(_sent(rooted, n), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-    by_node = rooted.join(named, "root").select("node", "class_id")
-    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "class_id")
+    least = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    rooted = settled(least.join(_sent(rooted, n), "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")))
+    named = settled(rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n")))
+    by_node = spread_join(rooted.select("node", "root"), named.select("root", "class_id"), ["root"], ["node"], counts=named.select("root", "n")).select("node", "class_id")
+    return spread_join(signed.select("doc_id", "node"), by_node, ["node"], ["doc_id"], counts=rooted.select("node", "n")).select("doc_id", "node", "class_id")
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:

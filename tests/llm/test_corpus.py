@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import lm_scoring, mixing, near_dedup, quality_ranking, toxicity
+from lodestone.llm.common import spread_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -97,32 +98,36 @@ def test_mix_uses_no_python(spark, data):
 # --- near duplicates ---
 
 
-def sets_of(texts):
+def bags_of(texts):
+    """Shingles of five words with how often they come, from the words themselves."""
     out = []
     for t in texts:
         w = WORD.findall(t or "")
-        out.append(frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 0))) or frozenset([tuple(w)] if w else []))
+        out.append(Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 0))) or Counter([tuple(w)] if w else []))
     return out
 
 
 def brute_classes(rows, similarity=0.8):
-    sets, at = sets_of([t for _, t in rows]), list(range(len(rows)))
+    bags, at = bags_of([t for _, t in rows]), list(range(len(rows)))
 
     def root(x):
         while at[x] != x:
             x = at[x]
         return x
 
-    where = defaultdict(list)
-    for i, s in enumerate(sets):
-        shared = Counter(j for e in s for j in where[e])
+    where, total = defaultdict(list), [sum(b.values()) for b in bags]
+    for i, b in enumerate(bags):
+        shared: Counter = Counter()
+        for e, n in b.items():
+            for j in where[e]:
+                shared[j] += min(n, bags[j][e])
         for j, n in shared.items():
-            if n >= similarity * (len(s) + len(sets[j]) - n):
-                a, b = sorted((root(i), root(j)))
-                at[b] = a
-        for e in s:
+            if n >= similarity * (total[i] + total[j] - n):
+                x, y = sorted((root(i), root(j)))
+                at[y] = x
+        for e in b:
             where[e].append(i)
-    empty = [i for i, s in enumerate(sets) if not s]
+    empty = [i for i, b in enumerate(bags) if not b]
     for i in empty:
         if (rows[i][1] or "") == (rows[empty[0]][1] or ""):
             at[root(i)] = root(empty[0])
@@ -206,6 +211,26 @@ def test_pairs_inside_a_family_below_the_threshold(spark, monkeypatch, part):
     assert got == want
 
 
+def test_repeats_weigh_in_the_similarity(spark):
+    """Texts alike as sets of shingles, and not as multisets, stay apart; repeats that both hold bring them together."""
+    line = " ".join(f"l{i}" for i in range(6))
+    own = lambda n, k: " ".join(f"{n}{i}" for i in range(k))
+    body = own("b", 60)
+    rows = [(1, f"{body} {line}"), (2, f"{body} " + " ".join([line] * 30)), (3, f"{own('c', 12)} " + " ".join([line] * 40)), (4, f"{own('d', 12)} " + " ".join([line] * 40)), (5, own("e", 20))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5}
+
+
+def test_joins_deal_frequent_keys(spark):
+    left = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 100).alias("k"), "id")
+    right = spark.range(-1, 60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left", "left_semi"):
+        got = spread_join(left, right, ["k"], ["id"], how)
+        assert got.exceptAll(left.join(right, ["k"], how)).count() == 0 and got.count() == left.join(right, ["k"], how).count()
+    plan = spread_join(left, right, ["k"], ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan
+
+
 def test_dedup_keeps_one_of_each(spark, odd, none):
     kept = near_dedup.dedup(odd)
     assert kept.columns == odd.columns
