@@ -87,12 +87,14 @@ def one_thread() -> None:
 def spread_join(left: DataFrame, right: DataFrame, keys: list, by: list, how: str = "inner", counts: DataFrame | None = None, parts: int = 256) -> DataFrame:
     """left.join(right, keys, how) in which no key of left lies in one task: a key that comes in 1/parts of left's rows or more (there are at most `parts` such keys) is dealt by the columns `by` over as many tasks as its share asks, and its rows of right go to all of these.
 
-    counts (keys, n) are the rows of left by key, if they are known. Both sides are read twice: they should be stored."""
-    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    counts (keys, n) are the rows of left by key, if they are known; otherwise left is read once more for them, so it should be stored."""
+    counts = settled(left.groupBy(*keys).agg(F.count("*").alias("n"))) if counts is None else counts
     total = counts.agg(F.sum("n")).first()[0] or 0
-    if total < 8 * parts:
+    hot = counts.where(F.col("n") * parts >= total).select(*keys, F.ceil(F.col("n") * parts / max(1, total)).cast("int").alias("_parts")) if total >= 8 * parts else None
+    rows = hot.collect() if hot is not None else []  # at most `parts` rows
+    if not rows:
         return left.join(right, keys, how)
-    hot = F.broadcast(counts.where(F.col("n") * parts >= total).select(*keys, F.ceil(F.col("n") * parts / total).cast("int").alias("_parts")))
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
     dealt = left.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     copied = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(copied, [*keys, "_part"], how).drop("_part")

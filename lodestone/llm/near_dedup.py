@@ -344,13 +344,13 @@ def roots(docs: DataFrame, signed: DataFrame, text: str = "text", key: str = "do
     same_row = [named["node"] == F.col("_near.node"), F.col("_id").eqNullSafe(F.col("_near.doc_id"))]
     named = named.join(_sent(near, n).alias("_near"), same_row, "left_semi")
     sets = settled(shingle_sets(named, size, weights).dropDuplicates(["node"]))
-    best = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").union(pairs.groupBy("x").agg(F.max("y").alias("y")).select("x", "y")).distinct()
+    best = settled(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").union(pairs.groupBy("x").agg(F.max("y").alias("y")).select("x", "y")).distinct())
     links = settled(verified(best, sets, similarity))
     rooted = settled(components(links))
     r = rooted.count()
     end = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c))
     side = lambda c: _sent(rooted.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), r)
-    across = pairs.join(side("x"), "x", "left").join(side("y"), "y", "left").where(end("x") != end("y")).select("x", "y")
+    across = settled(pairs.join(best, ["x", "y"], "left_anti").join(side("x"), "x", "left").join(side("y"), "y", "left").where(end("x") != end("y")).select("x", "y"))
     more = settled(verified(across, sets, similarity))
     if not more.isEmpty():
         links = links.union(more)
