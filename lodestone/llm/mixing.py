@@ -1,15 +1,18 @@
 """Mixing sources to target weights: a multivariate-hypergeometric splitting tree over source blocks.
 
 1. One pass sums the sizes by (source, bucket), buckets being equal ranges of a row hash; that is a random permutation of
-   each source cut into at most BUCKETS parts, whose prefix sums place every document on its source's axis of words.
+   each source cut into at most BUCKETS parts, whose prefix sums place every document on its source's axis of words. The one
+   bucket of a source in which its target ends is cut into BUCKETS parts again, and the one of these again, so that places near
+   the end are exact but for a 2^30th of a source.
 2. Targets are the weights' shares of all words, capped at REPEATS passes over the source.
 3. A source's target is cut into equal blocks. The tree starts with all block quotas at its root; each node deals half of
    its blocks to the left child, drawn from the sources without replacement (multivariate hypergeometric, by sequential
    inversion), and keeps exact sums down to the output shards.
-4. Shards take disjoint runs of each source's permuted blocks; a document goes where its middle word lies, once for each
-   pass; each shard is then shuffled on its own.
+4. Each shard draws as many of a source's permuted blocks as the tree gave it, disjoint from all others' draws. A document is
+   taken by the shard that has drawn the block where its middle word lies, once for each pass; what no shard has drawn isn't
+   taken. Each shard is then shuffled on its own.
 
-Only the (source, bucket) sums and the quotas are gathered: sources x BUCKETS and sources x shards numbers, however many
+Only the (source, bucket) sums and the quotas are gathered: sources x 3 x BUCKETS and sources x shards numbers, however many
 documents there are. Documents meet them in a map-side join while those are few (checked), and in a shuffle join beyond.
 
 Edge cases: null texts have size 0; rows of size 0 are never taken; null is a source of its own, last in order; repeated
@@ -23,6 +26,8 @@ from pyspark.sql.window import Window as W
 from lodestone.llm.common import GAP, let, settled, table, tasks_for
 
 BUCKETS = 1024
+#: How often the bucket in which a source's target ends is cut again, and once more.
+LEVELS = 3
 REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARDS = 64
@@ -30,7 +35,7 @@ SHARDS = 64
 BLOCKS = 8192
 #: Stored bytes for each task that writes part of a shard.
 PART_BYTES = 32_000_000
-#: Rows of (source, bucket) sums up to which they are sent to every executor; each has under 100 bytes.
+#: Rows of (source, bucket) sums of a level up to which they are sent to every executor; each has under 100 bytes.
 SENT = 200_000
 
 
@@ -48,7 +53,30 @@ def _unit(*keys) -> Column:
 
 
 def _placed(docs: DataFrame, seed: int, key: str, size: Column) -> DataFrame:
-    return docs.withColumns({"size": size, "_skey": F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))}).withColumn("_u", _unit(F.lit(seed), F.col(key), F.col("_skey"))).withColumn("_bucket", F.floor(F.col("_u") * BUCKETS).cast("int"))
+    placed = docs.withColumns({"size": size, "_skey": F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))})
+    return placed.withColumn("_u", _unit(F.lit(seed), F.col(key), F.col("_skey")))
+
+
+def _fine(level: int) -> Column:
+    """Bucket of a row at a level: level 0 cuts the hash's range into BUCKETS, each further one a bucket of the level before."""
+    return F.floor(F.col("_u") * float(BUCKETS) ** (level + 1)).cast("long")
+
+
+def _sums(rows: DataFrame, level: int) -> DataFrame:
+    return rows.groupBy("_skey", _fine(level).alias("_cut")).agg(F.sum("size").alias("_n"), F.count("*").alias("_rows"))
+
+
+def _marked(sums: DataFrame, base: DataFrame | None) -> DataFrame:
+    """sums with _at, the words of the source before each bucket; base (_skey, _base): the words before the first of them."""
+    marks = sums.withColumn("_at", F.coalesce(F.sum("_n").over(W.partitionBy("_skey").orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return marks if base is None else marks.join(base, "_skey").withColumn("_at", F.col("_at") + F.col("_base")).drop("_base")
+
+
+def _ending(marks: DataFrame, aims: DataFrame) -> DataFrame:
+    """(_skey, _cut, _at) of the bucket of each source in which its last, partial pass ends."""
+    end = F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")
+    inside = marks.join(aims.where("target > 0").select("_skey", end.alias("_end")), "_skey").where((F.col("_at") <= F.col("_end")) & (F.col("_end") < F.col("_at") + F.col("_n")) & (F.col("_rows") > 1))
+    return inside.select("_skey", "_cut", "_at")
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -115,30 +143,41 @@ def split_quotas(root: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select("shard", "quotas")
 
 
-def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", weights=WEIGHTS, repeats: int = REPEATS, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 7) -> DataFrame:
-    """docs with size, source_size, target and places: array of (pass, block, shard), one for each time that the mix takes the row."""
-    placed = _placed(docs, seed, key, size_of(text))
-    sums = settled(placed.groupBy("_skey", "_bucket").agg(F.sum("size").alias("_n"), F.count("*").alias("_rows")))
-    by_source = sums.groupBy("_skey").agg(F.sum("_n").alias("source_size"))
+def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", weights=WEIGHTS, repeats: int = REPEATS, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 7, size: Column | None = None) -> DataFrame:
+    """docs with size, source_size, target and places: array of (pass, block, shard), one for each time that a shard of the mix takes the row. size: the words of a row, counted in its text by default."""
+    placed = _placed(docs, seed, key, size_of(text) if size is None else size)
+    sums = settled(_sums(placed, 0))
+    by_source = settled(sums.groupBy("_skey").agg(F.sum("_n").alias("source_size")))
+    n_sources = by_source.count()
+    few = n_sources * BUCKETS <= SENT
+    sent = F.broadcast if few else (lambda x: x)
     aims = targets(by_source, weights, repeats)
     total = F.sum("target").over(W.partitionBy())
-    aims = aims.withColumn("_blocks", F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round(F.col("target") * blocks / total))).otherwise(F.lit(0)).cast("long"))
+    aims = settled(aims.withColumn("_blocks", F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round(F.col("target") * blocks / total))).otherwise(F.lit(0)).cast("long")))
     root = aims.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "_blocks"))), lambda x: x["_blocks"]).alias("quotas"))
     dealt = split_quotas(root, shards, seed).select("shard", F.posexplode("quotas").alias("idx", "_q"))
-    # which shard takes each of the source's permuted blocks: runs of the shards' quotas
+    # the blocks that each shard draws: runs of the source's permuted blocks, as long as the shards' quotas
     shard_of = dealt.groupBy("idx").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("shard", "_q"))), lambda x: F.array_repeat(x["shard"], x["_q"].cast("int")))).alias("_shard_of"))
-    marks = sums.withColumn("_at", F.sum("_n").over(W.partitionBy("_skey").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)))
-    spots = marks.join(aims.drop("weight"), "_skey").select("_skey", "_bucket", "_n", "_rows", F.coalesce("_at", F.lit(0)).alias("_at"), "source_size", "idx", "target", "_blocks")
-    few = by_source.count() * BUCKETS <= SENT
-    sent = F.broadcast if few else (lambda x: x)
-    joined = placed.drop("source_size", "target", "idx").join(sent(spots), ["_skey", "_bucket"], "left").join(sent(shard_of), "idx", "left")
-    inside = F.when(F.col("_rows") == 1, F.lit(0.5)).otherwise(F.col("_u") * BUCKETS - F.col("_bucket"))
-    mid = F.col("_at") + inside * F.col("_n")
-    place = lambda p: F.floor((mid + p * F.col("source_size")) * F.col("_blocks") / F.col("target")).cast("long")
-    passes = F.transform(F.array(*[F.lit(p) for p in range(repeats)]), lambda p: F.struct(p.alias("pass"), place(p).alias("block")))
-    taken = F.filter(passes, lambda x: x["block"] < F.col("_blocks"))
-    places = F.when((F.col("size") > 0) & (F.col("target") > 0), F.transform(taken, lambda x: F.struct(x["pass"].alias("pass"), x["block"].alias("block"), F.get("_shard_of", x["block"].cast("int")).alias("shard"))))
-    return joined.withColumn("places", F.coalesce(places, F.array().cast("array<struct<pass:int,block:bigint,shard:int>>"))).drop("_skey", "_bucket", "_u", "_n", "_rows", "_at", "_shard_of", "_blocks", "idx")
+    spots, base, joined = sums, None, placed.drop("source_size", "target", "idx", "_at", "_rows", "_n", "_place")
+    for level in range(LEVELS):
+        marks = settled(_marked(spots, base))
+        of_level = marks.select("_skey", F.col("_cut").alias(f"_cut{level}"), F.struct("_at", "_n", "_rows", F.lit(level).alias("level")).alias(f"_spot{level}"))
+        joined = joined.withColumn(f"_cut{level}", _fine(level)).join(sent(of_level), ["_skey", f"_cut{level}"], "left")
+        if level + 1 < LEVELS:
+            ending = settled(_ending(marks, aims))
+            if ending.isEmpty():
+                break
+            base = ending.select("_skey", F.col("_at").alias("_base"))
+            rows = placed.withColumn("_cut", _fine(level)).join(sent(ending.select("_skey", "_cut")), ["_skey", "_cut"], "left_semi")
+            spots = settled(_sums(rows, level + 1))
+    spot = F.coalesce(*[F.col(f"_spot{i}") for i in reversed(range(level + 1))])
+    inside = F.when(spot["_rows"] == 1, F.lit(0.5)).otherwise(F.col("_u") * F.pow(F.lit(float(BUCKETS)), spot["level"] + 1) - F.floor(F.col("_u") * F.pow(F.lit(float(BUCKETS)), spot["level"] + 1)))
+    joined = joined.withColumn("_mid", spot["_at"] + inside * spot["_n"]).join(sent(aims.drop("weight")), "_skey", "left").join(sent(shard_of), "idx", "left")
+    place = lambda p: F.floor((F.col("_mid") + p * F.col("source_size")) * F.col("_blocks") / F.col("target")).cast("int")
+    passes = F.transform(F.array(*[F.lit(p) for p in range(repeats)]), lambda p: F.struct(p.alias("pass"), place(p).cast("long").alias("block"), F.get("_shard_of", place(p)).alias("shard")))
+    drawn = F.filter(passes, lambda x: x["shard"].isNotNull())
+    places = F.when((F.col("size") > 0) & (F.col("target") > 0), drawn)
+    return joined.withColumn("places", F.coalesce(places, F.array().cast("array<struct<pass:int,block:bigint,shard:int>>"))).drop("_skey", "_u", "_mid", "_shard_of", "_blocks", "idx", *[f"_{c}{i}" for c in ("cut", "spot") for i in range(LEVELS)])
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, key: str = "doc_id", **options) -> DataFrame:
@@ -154,8 +193,11 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, key: str = "doc_id
 
 
 def op1_mixing(spark, sf_dir):
-    plan = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return plan.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.size("places")).cast("long").alias("taken"))
+    docs = table(spark, sf_dir, "documents")
+    sized = settled(docs.select("doc_id", "source", size_of().alias("size")))  # texts are read once
+    plan = mix_plan(sized, size=F.col("size"))
+    taken = (F.col("size") * F.size("places")).cast("long").alias("taken")
+    return plan.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), taken, F.transform("places", lambda p: p["shard"]).alias("shards"))
 
 
 QUERIES = {"op1_mixing": op1_mixing}
