@@ -2,10 +2,10 @@
 
 Features are the presence of words (runs of letters, lower case) of the whole text and of word beginnings of some lengths
 (marked by a final "~"), which catch stems under many endings. On a bounded sample of labelled rows, features are screened
-by the likelihood ratio of their presence in toxic and other texts. Labels say toxic or not; the toxic
-texts of the sample are graded 1 to GRADES by the number of different screened features that speak for toxicity, cut at
-quantiles. The regression then has one weight a word, shared by all grades, and ordered thresholds:
-P(grade <= k) = sigmoid(threshold_k - w . x). Its output is the expected grade. A text is toxic if w . x reaches the cut that
+by the likelihood ratio of their presence in toxic and other texts. The ratio asked for grows with the sample, as chance finds do with the number of features looked at. Labels say toxic or not; how
+severe a toxic text is, models that have not seen it say: the sample is cut into FOLDS parts by a hash of the id, each part is
+scored by a regression fitted on the others, and the toxic texts are graded 1 to GRADES by thirds of these scores. The regression
+then has one weight a word, shared by all grades, and ordered thresholds: P(grade <= k) = sigmoid(threshold_k - w . x). Its output is the expected grade. A text is toxic if w . x reaches the cut that
 gives the best F0.5 on the sample, looked for from half the first threshold up (the middle of the gap there).
 
 Edge cases: null and empty texts have no features; a sample without toxic or without other rows gives severity 0 to all;
@@ -24,11 +24,13 @@ from lodestone.llm.labelled import labelled_sample, scored
 
 #: Labelled rows that the model is fitted on, at most.
 BOUND = 30_000
-#: Features that the model has, at most, and the likelihood ratio that each needs.
-WORDS, RATIO = 2000, 20.0
+#: Features that the model has, at most, and the likelihood ratio that each needs: so much for each factor of e in the number of labelled texts.
+WORDS, RATIO = 2000, 2.0
 #: Lengths of word beginnings.
 STEMS = (4, 5, 6)
 GRADES = 3
+#: Parts of the sample that grade each other.
+FOLDS = 4
 PENALTY = 1e-3
 
 
@@ -98,7 +100,7 @@ def screened(sample: DataFrame) -> list:
     a, b, n, m = F.col("bad").cast("double"), (F.col("n") - F.col("bad")).cast("double"), float(total[0]), float(total[1])
     term = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
     ratio = 2 * (term(a, F.col("n") * m / n) + term(b, F.col("n") * (n - m) / n) + term(m - a, (n - F.col("n")) * m / n) + term(n - m - b, (n - F.col("n")) * (n - m) / n))
-    rows = counts.where((F.col("word") != "") & (F.col("n") >= 3) & (F.col("n") < n)).withColumn("r", ratio).where(F.col("r") >= RATIO).orderBy(F.desc("r"), "word").limit(WORDS)
+    rows = counts.where((F.col("word") != "") & (F.col("n") >= 3) & (F.col("n") < n)).withColumn("r", ratio).where(F.col("r") >= RATIO * math.log(n)).orderBy(F.desc("r"), "word").limit(WORDS)
     return [(r["word"], r["n"], r["bad"]) for r in rows.collect()], total
 
 
@@ -141,6 +143,19 @@ def fit_ordinal(rows, grades, n_features: int, levels: int, penalty: float = PEN
     return p[:n_features], p[n_features] + np.concatenate(([0], np.cumsum(np.exp(p[n_features + 1 :]))))
 
 
+def graded(rows, y, folds, n_features: int, levels: int):
+    """Grades from 0 (y is 0) to at most `levels`, without gaps: toxic rows by quantiles of the scores of models fitted on the other folds."""
+    scores = np.zeros(len(rows))
+    for k in np.unique(folds):
+        mine, others = np.flatnonzero(folds == k), np.flatnonzero(folds != k)
+        if 0 < y[others].sum() < len(others):
+            w, _ = fit_ordinal([rows[i] for i in others], y[others], n_features, 1, steps=200)
+            scores[mine] = [w[rows[i]].sum() for i in mine]
+    cuts = np.unique(np.quantile(scores[y > 0], [k / levels for k in range(1, levels)], method="higher"))
+    out = np.where(y > 0, 1 + np.searchsorted(cuts, scores, "left"), 0)
+    return np.where(out > 0, np.unique(out, return_inverse=True)[1].reshape(-1) + (0 if (out == 0).any() else 1), 0)
+
+
 def best_cut(s, y, least: float) -> float:
     """The cut of s, at least `least`, with the best F-measure for y (precision counts twice as much as recall): the middle between the scores on its sides."""
     order = np.argsort(-s, kind="stable")
@@ -159,23 +174,18 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, levels: int = GR
     if not words:
         return Model({}, [])
     number = {w: i for i, (w, _, _) in enumerate(words)}
-    base = bad / n
-    speaks = {w for w, k, a in words if a / k > base}
-
     def present(batches):
         import pyarrow as pa
 
         for b in batches:
             rows = [sorted(map(number.__getitem__, number.keys() & features_of(t))) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), b.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), *b.columns[1:]], names=["x", "y", "fold"])
 
-    got = sample.select("text", "label").mapInArrow(present, "x array<int>, y int").collect()  # at most `bound` short lists
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    got = sample.select("text", "label", fold).mapInArrow(present, "x array<int>, y int, fold int").collect()  # at most `bound` short lists
+    got = sorted(got, key=lambda r: (r["fold"], r["y"], r["x"]))  # the model does not depend on the order of the rows
     rows, y = [r["x"] for r in got], np.array([int(r["y"] > 0) for r in got])
-    strong = {number[w] for w in speaks}
-    weight = np.array([sum(f in strong for f in r) for r in rows])
-    cuts = np.unique(np.quantile(weight[y > 0], [k / levels for k in range(1, levels)], method="higher"))
-    grades = np.where(y > 0, 1 + np.searchsorted(cuts, weight, "left"), 0)
-    grades = np.where(grades > 0, np.unique(grades, return_inverse=True)[1].reshape(-1) + (0 if (grades == 0).any() else 1), 0)
+    grades = graded(rows, y, np.array([r["fold"] for r in got]), len(words), levels)
     w, th = fit_ordinal(rows, grades, len(words), int(grades.max()))
     s = np.array([w[r].sum() for r in rows])
     return Model({x: float(w[i]) for x, i in number.items() if math.fabs(w[i]) > 1e-6}, th.tolist(), best_cut(s, y, float(th[0]) / 2))
