@@ -23,6 +23,8 @@ from lodestone.llm.common import opened, pieces_of, settled, shared_dir, table,
 
 WIDTH = 192
 SHARD = 32_000_000
+#: Stored bytes that a task reads.
+READ_BYTES = 16_000_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33
 
@@ -113,7 +115,7 @@ def store(docs: DataFrame, text: str = "text", folder: str | None = None, shard_
 
     stored = settled(docs.select(payload_of(text).alias("payload")).mapInArrow(run, "key string, digest string, shard string, offset long, length long"))
     first = F.min(F.struct("shard", "offset", "length", "digest")).alias("at")
-    return stored.groupBy("key").agg(first).select("key", "at.digest", "at.shard", "at.offset", "at.length")
+    return settled(stored.groupBy("key").agg(first).select("key", "at.digest", "at.shard", "at.offset", "at.length"))
 
 
 def probe(manifest: DataFrame, full: bool = True) -> DataFrame:
@@ -143,7 +145,9 @@ def probe(manifest: DataFrame, full: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()]], names=names)
 
     # a shard's members are spread over tasks by runs of its bytes, and read in their order
-    spread = manifest.withColumn("_run", F.floor(F.col("offset") / 4_000_000)).repartition("shard", "_run").sortWithinPartitions("shard", "offset").drop("_run")
+    # the number of tasks follows the stored bytes, as the rows that are shuffled are small beside what they point to
+    stored = manifest.agg(F.sum("length")).first()[0] or 0
+    spread = manifest.withColumn("_run", F.floor(F.col("offset") / 4_000_000)).repartition(max(1, min(1_000_000, -(-stored // READ_BYTES))), "shard", "_run").sortWithinPartitions("shard", "offset").drop("_run")
     return spread.mapInArrow(run, schema)
 
 
@@ -156,7 +160,7 @@ def media_columns(docs: DataFrame, manifest: DataFrame, text: str = "text", full
 
 def op3_media(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media_columns(docs, store(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media_columns(docs, store(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bits")
 
 
 QUERIES = {"op3_media": op3_media}
