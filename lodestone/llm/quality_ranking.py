@@ -5,8 +5,8 @@ one labelled 0; the weights maximise the logistic likelihood of the pairs' featu
 threshold is the quantile of the training scores at the share of label 0; scores are mapped to (0, 1) by a logistic curve
 fitted to the labels and moved so that the threshold lies at CUT.
 
-Edge cases: null and empty texts have the features of no characters and get a score like any other; labels of one kind only
-give score 1 to all; repeated rows each have their row; other columns pass through, but for those of its own names."""
+Edge cases: null and empty texts have the features of no characters and get a score like any other; labels of kind 1
+only, or none at all, give score 1 to all, labels of kind 0 only give score 0; repeated rows each have their row; other columns pass through, but for those of its own names."""
 
 from dataclasses import dataclass
 
@@ -73,6 +73,8 @@ def features(texts) -> np.ndarray:
 
 @dataclass
 class Model:
+    """weights of the standardised features, and the cut between predictions; without weights, the cut is every text's score."""
+
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -84,7 +86,7 @@ class Model:
 
     def score(self, texts):
         if self.weights is None:
-            s = np.ones(len(texts))
+            s = np.full(len(texts), self.cut)
         else:
             z = self.slope * (self.raw(features(texts)) - self.cut) + np.log(CUT / (1 - CUT))
             s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -109,7 +111,7 @@ def fit_ranking(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float =
     """The model from features and 0/1 labels: every text is in some pair if there are as many pairs as texts."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
-        return Model(None, None, None, 1.0, 0.0)
+        return Model(None, None, None, 1.0, 1.0 if len(good) or not len(bad) else 0.0)
     mean, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = np.clip((x - mean) / scale, -8, 8)
@@ -141,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
 
     got = sample.select("text", "label").mapInArrow(run, "x array<double>, y int").toPandas()  # at most `bound` rows of len(NAMES) figures
     if not len(got):
-        return Model(None, None, None, 1.0, 0.0)
+        return Model(None, None, None, 1.0, 1.0)
     order = np.lexsort(np.stack(got.x.to_numpy()).T)  # the model does not depend on the order of the rows
     return fit_ranking(np.stack(got.x.to_numpy())[order], (got.y.to_numpy()[order] > 0).astype(int))
 
