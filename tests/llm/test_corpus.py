@@ -52,14 +52,34 @@ def check_mix(df, got):
 def test_mix_targets(spark, data):
     got = mixing.op1_mixing(spark, data).collect()
     sums = check_mix(spark.read.parquet(f"{data}/documents.parquet"), got)
-    assert all(abs(t - w) <= 2 * big for t, w, big in sums.values())
-    assert sorted(map(tuple, mixing.op1_mixing(spark, data).collect())) == sorted(map(tuple, got))
+    assert all(abs(t - w) <= max(big / 2 + 1, 0.01 * w) for t, w, big in sums.values())
+    assert sorted(map(str, mixing.op1_mixing(spark, data).collect())) == sorted(map(str, got))
+
+
+def test_shards_decide_what_is_taken(spark, data, monkeypatch):
+    """What the tree deals is what is drawn: another tree gives other shards, and blocks that it withholds aren't taken."""
+    got = {r["doc_id"]: r for r in mixing.op1_mixing(spark, data).collect()}
+    assert all(r["taken"] == r["size"] * len(r["shards"]) for r in got.values())
+    assert len({x for r in got.values() for x in r["shards"]}) > 16
+    tree = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda root, shards, seed: tree(root, shards, seed + 1))
+    other = {r["doc_id"]: r for r in mixing.op1_mixing(spark, data).collect()}
+    assert sum(got[i]["shards"] != other[i]["shards"] for i in got) > len(got) / 4
+    monkeypatch.setattr(mixing, "split_quotas", lambda root, shards, seed: tree(root, shards, seed).withColumn("quotas", F.transform("quotas", lambda q: F.floor(q / 2))))
+    half = mixing.op1_mixing(spark, data).collect()
+    assert sum(r["taken"] for r in half) < 0.6 * sum(r["taken"] for r in got.values())
+
+
+def test_mixed_rows_are_the_plan(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    plan = Counter((r["doc_id"], x) for r in mixing.op1_mixing(spark, data).collect() for x in r["shards"])
+    assert Counter((r["doc_id"], r["shard"]) for r in mixing.mix(docs).select("doc_id", "shard").collect()) == plan
 
 
 def test_mix_with_many_documents(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 37 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 < 97, F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("source"))
     sums = check_mix(df, mixing.mix_plan(df).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken")).collect())
-    assert all(abs(t - w) <= max(0.02 * w, 2 * big) for t, w, big in sums.values())
+    assert all(abs(t - w) <= big / 2 + 1 for t, w, big in sums.values())
 
 
 def test_mix_odd_rows(spark, odd, none, folder):
@@ -290,6 +310,54 @@ def test_toxic_stems_are_learnt(spark):
     assert all(0 <= r["severity"] <= toxicity.GRADES and 0 <= r["p_toxic"] <= 1 for r in got.values())
 
 
+def test_severity_ranks_held_out_texts(spark):
+    """Texts with more vile words are graded higher though labels say no more than toxic; those fitted on are others."""
+    rng = np.random.default_rng(9)
+    texts, toxic, many = [], [], []
+    for i in range(1200):
+        n = int(rng.integers(1, 9)) if i % 4 == 0 else 0
+        words = [f"vil{rng.choice(['mur', 'gor', 'zod', 'kra', 'bex', 'dru'])}{rng.choice(['s', 'en', 'ing'])}" for _ in range(n)]
+        texts.append(prose(rng, 50) + " " + " ".join(words))
+        toxic.append(int(n > 0))
+        many.append(n)
+    docs, labels = labelled(spark, texts, toxic=toxic)
+    got = {r["doc_id"]: r["severity"] for r in toxicity.grade(docs, toxicity.fit(docs, labels.where("doc_id < 800"))).collect()}
+    held = [i for i in range(800, 1200) if many[i]]
+    few, lots = [got[i] for i in held if many[i] <= 2], [got[i] for i in held if many[i] >= 6]
+    assert np.mean([a < b for a in few for b in lots]) > 0.8
+    assert max(got[i] for i in range(800, 1200) if not many[i]) < np.median(few)
+
+
+def test_toxicity_query_by_definition(spark):
+    """The query's rows from the fitted weights and thresholds, a text at a time, over all rows."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.op2_toxicity(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows[:300]:
+        s = sum(m.weights.get(f, 0.0) for f in toxicity.features_of(r["text"] or ""))
+        above = [1 / (1 + math.exp(t - s)) for t in m.thresholds]
+        assert got[r["doc_id"]]["severity"] == pytest.approx(sum(above)) and got[r["doc_id"]]["grade"] == sum(a >= 0.5 for a in above) and got[r["doc_id"]]["toxic"] == (s >= m.cut)
+    mark = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert not any(got[i]["toxic"] for i, y in mark.items() if not y)
+    assert sum(got[i]["toxic"] for i, y in mark.items() if y) >= 0.9 * sum(mark.values())
+
+
+def test_quality_query_by_definition(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = quality_ranking.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r for r in quality_ranking.op10_quality(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows[:200]:
+        x = np.clip((quality_ranking.features([r["text"] or ""])[0] - m.mean) / m.scale, -8, 8)
+        z = m.slope * (sum(float(a) * float(b) for a, b in zip(x, m.weights)) - m.cut) + math.log(0.7 / 0.3)
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     rows, grades = [], []
@@ -311,7 +379,10 @@ def test_classifiers_on_odd_rows(spark, odd, none, data):
     assert toxicity.grade(none, t).count() == quality_ranking.rank(none, q).count() == 0
     one = labels.where("toxic = 0 and quality = 1")
     assert not any(r["toxic"] for r in toxicity.grade(odd, toxicity.fit(docs, one)).collect())
-    assert all(r["score"] == 1 for r in quality_ranking.rank(odd, quality_ranking.fit(docs, one)).collect())
+    assert all(r["score"] == r["predicted"] == 1 for r in quality_ranking.rank(odd, quality_ranking.fit(docs, one)).collect())
+    zero = labels.where("quality = 0")
+    assert all(r["score"] == r["predicted"] == 0 for r in quality_ranking.rank(odd, quality_ranking.fit(docs, zero)).collect())
+    assert all(r["score"] == 1 for r in quality_ranking.rank(odd, quality_ranking.fit(docs, labels.where("false"))).collect())
     assert toxicity.fit(docs, labels.where("false")).thresholds == []
 
 
@@ -507,18 +578,29 @@ def test_stored_ids_and_words(spark):
 # --- pipeline ---
 
 
-def test_stages_on_odd_and_no_rows(spark, odd, none, data):
+def test_stages_on_odd_and_no_rows(spark, odd, none, data, folder):
     import corpus_pipeline
 
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        for docs in (odd, none):
-            out = stage(spark, docs, data)
-            rows = out.collect()
-            assert i == 4 or out.columns == docs.columns
-            if docs is none:
-                assert not rows
-            elif i != 3:
-                assert len(rows) <= odd.count()
+    rows = odd.collect()
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        assert stage(spark, none, data).count() == 0
+        if name != "byte-level BPE":
+            assert stage(spark, odd, data).columns == odd.columns
+    # one kind of labels, or none
+    poor = spark.createDataFrame([(i, 0, 0) for i in range(1, 8)], "doc_id long, quality int, toxic int")
+    for some, kept in ((poor.withColumn("quality", F.lit(1)), len(rows)), (labels.where("false"), len(rows)), (poor, 0)):
+        sf = folder(some, "labels")
+        if kept:
+            assert sorted(map(str, stages["toxicity"](spark, odd, sf).collect())) == sorted(map(str, rows))
+        assert stages["quality classifier"](spark, odd, sf).count() == kept
+    least = stages["near duplicates"](spark, odd, data).collect()
+    assert sorted((r["doc_id"] for r in least), key=str) == [1, 3, 4, 5, 6, None]
+    mixed = Counter(r["doc_id"] for r in stages["mixing"](spark, odd, data).collect())
+    assert not {1, 2, 3} & set(mixed) and mixed
+    coded = stages["byte-level BPE"](spark, odd, data).collect()
+    assert len(coded) == len(rows) and {r["n_tokens"] for r in coded if r["doc_id"] in (1, 2)} == {0}
 
 
 def test_pipeline(spark, data):
