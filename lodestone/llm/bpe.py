@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import table
+from lodestone.llm.common import table, tidy
 
 CHUNK = 12_000_000
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -250,7 +250,7 @@ def encode(docs: DataFrame, outputs=("ids", "n_tokens"), text: str = "text", ran
         if held:
             yield from flush(held)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", ranks: str = RANKS) -> DataFrame:
@@ -267,7 +267,7 @@ def decode(df: DataFrame, ids: str = "ids", ranks: str = RANKS) -> DataFrame:
             new = [None if x is None else decode_ids(np.frombuffer(x, np.uint32), tokens) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.binary())], names=[*b.schema.names, "decoded"])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def op6_bpe(spark, sf_dir):

@@ -13,9 +13,9 @@ BLANKS = " \t\n\x0b\f\r"
 
 def lean(spark: SparkSession) -> None:
     """Batches for Python of 1,000 rows instead of Spark's default of 10,000: texts are long, and a batch is held several times over. A value that the session has set itself stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "1000")
+    for name, usual, lean_ in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "16777216b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", lean_)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,27 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def tidy(run):
+    """run, a function of an iterator that yields, with the memory it leaves free given back at its end: a worker serves many stages, and what each has held at most adds up."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def one_thread() -> None:
     """Matrix products of this process on one thread, where numpy comes with OpenBLAS: the tasks share the cores already, and on small products further threads only wait for each other."""
     import ctypes

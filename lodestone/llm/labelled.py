@@ -20,7 +20,7 @@ def scored(docs: DataFrame, schema: str, score, text: str = "text", keep=None) -
     """docs (its columns in keep, all by default) with the columns of schema, which score(list of texts) gives as a dict of lists. Columns of docs with the same names are replaced."""
     from pyspark.sql import types as T
 
-    from lodestone.llm.common import pieces_of
+    from lodestone.llm.common import pieces_of, tidy
 
     new = T.StructType.fromDDL(schema)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
@@ -36,4 +36,4 @@ def scored(docs: DataFrame, schema: str, score, text: str = "text", keep=None) -
             out = score(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(out[f.name], arrow.field(f.name).type) for f in new.fields]], schema=arrow)
 
-    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, full)
+    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(tidy(run), full)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import opened, pieces_of, settled, shared_dir, table, write_file
+from lodestone.llm.common import opened, pieces_of, settled, shared_dir, table, tidy, write_file
 
 WIDTH = 192
 SHARD = 32_000_000
@@ -113,7 +113,7 @@ def store(docs: DataFrame, text: str = "text", folder: str | None = None, shard_
         if rows:
             yield flush()
 
-    stored = settled(docs.select(payload_of(text).alias("payload")).mapInArrow(run, "key string, digest string, shard string, offset long, length long"))
+    stored = settled(docs.select(payload_of(text).alias("payload")).mapInArrow(tidy(run), "key string, digest string, shard string, offset long, length long"))
     first = F.min(F.struct("shard", "offset", "length", "digest")).alias("at")
     return settled(stored.groupBy("key").agg(first).select("key", "at.digest", "at.shard", "at.offset", "at.length"))
 
@@ -148,7 +148,7 @@ def probe(manifest: DataFrame, full: bool = True) -> DataFrame:
     # the number of tasks follows the stored bytes, as the rows that are shuffled are small beside what they point to
     stored = manifest.agg(F.sum("length")).first()[0] or 0
     spread = manifest.withColumn("_run", F.floor(F.col("offset") / 4_000_000)).repartition(max(1, min(1_000_000, -(-stored // READ_BYTES))), "shard", "_run").sortWithinPartitions("shard", "offset").drop("_run")
-    return spread.mapInArrow(run, schema)
+    return spread.mapInArrow(tidy(run), schema)
 
 
 def media_columns(docs: DataFrame, manifest: DataFrame, text: str = "text", full: bool = True) -> DataFrame:

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import pieces_of, settled, spread_join, table
+from lodestone.llm.common import pieces_of, settled, spread_join, table, tidy
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Weight of a shingle: how often it comes ("count") or 1 ("set").
@@ -40,7 +40,7 @@ WEIGHTS = "count"
 BANDS, ROWS = 24, 6
 #: Rows of narrow columns up to which a side of a join is sent to every executor; beyond, the join shuffles.
 SENT = 250_000
-CHUNK = 6_000_000
+CHUNK = 4_000_000
 #: Bytes of shingles of a part of a bucket.
 REST = 2_000_000
 #: Rank cells: their ends double up to 1 and go on in steps of 1, so no cell of unit weight expects more than one dart.
@@ -194,7 +194,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", bands:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "node", "bands"])
 
     rows_ = docs.select(docs[key].alias("doc_id"), text_key(text).alias("node"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    return rows_.mapInArrow(run, f"doc_id {id_type}, node binary, bands array<bigint>")
+    return rows_.mapInArrow(tidy(run), f"doc_id {id_type}, node binary, bands array<bigint>")
 
 
 def shingle_sets(texts: DataFrame, size: int = SHINGLE, weights: str = WEIGHTS) -> DataFrame:
@@ -216,7 +216,7 @@ def shingle_sets(texts: DataFrame, size: int = SHINGLE, weights: str = WEIGHTS)
                 out.append(np.unique(part).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, shingles binary")
+    return texts.select("node", "text").mapInArrow(tidy(run), "node binary, shingles binary")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -245,8 +245,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
         for b in batches:
             keep = []
-            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
+            for s, t in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(s.as_buffer(), "<u8"), np.frombuffer(t.as_buffer(), "<u8")
                 if min(len(p), len(q)) < similarity * max(len(p), len(q)):
                     keep.append(False)
                     continue
@@ -257,7 +257,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     # a hub is the x or the y of many pairs; its set goes to all tasks that hold some of them
     with_x = spread_join(pairs, sets.select(F.col("node").alias("x"), F.col("shingles").alias("s")), ["x"], ["y"])
     both = spread_join(with_x, sets.select(F.col("node").alias("y"), F.col("shingles").alias("t")), ["y"], ["x"], counts=pairs.groupBy("y").agg(F.count("*").alias("n")))
-    return both.select("x", "y", "s", "t").mapInArrow(run, "x binary, y binary")
+    return both.select("x", "y", "s", "t").mapInArrow(tidy(run), "x binary, y binary")
 
 
 def rest_of(nodes: DataFrame, ends: DataFrame, rooted: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def linked(rest: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) ->
         cls = np.array([codes[r] for r in roots_])
         x, y = [], []
         if len(codes) > 1:
-            held = [np.frombuffer(s, "<u8") for s in t.column("shingles").to_pylist()]
+            held = [np.frombuffer(s.as_buffer(), "<u8") for s in t.column("shingles")]
             size = np.array([len(s) for s in held])
             doc = np.repeat(np.arange(len(held)), size)
             number = np.unique(np.concatenate(held), return_inverse=True)[1]

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import table, tidy
 from lodestone.llm.labelled import labelled_sample, scored
 
 #: Labelled rows that the model is fitted on, and pairs, at most.
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
             x = features(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    got = sample.select("text", "label").mapInArrow(run, "x array<double>, y int").toPandas()  # at most `bound` rows of len(NAMES) figures
+    got = sample.select("text", "label").mapInArrow(tidy(run), "x array<double>, y int").toPandas()  # at most `bound` rows of len(NAMES) figures
     if not len(got):
         return Model(None, None, None, 1.0, 1.0)
     order = np.lexsort(np.stack(got.x.to_numpy()).T)  # the model does not depend on the order of the rows

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from lodestone.llm.bpe import gather
-from lodestone.llm.common import NewFile, gathered, opened, settled, shared_dir, table, tasks_for
+from lodestone.llm.common import NewFile, gathered, opened, settled, shared_dir, table, tasks_for, tidy
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CHUNK = 6_000_000
@@ -336,7 +336,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, key: str = "doc_id", t
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "path" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
-    manifest = settled(rows.mapInArrow(run, "task long, seq long, path string, offset long, n_docs long, n_ids long").withColumn("block", F.floor(F.col("task") / 1024)))
+    manifest = settled(rows.mapInArrow(tidy(run), "task long, seq long, path string, offset long, n_docs long, n_ids long").withColumn("block", F.floor(F.col("task") / 1024)))
     blocks = manifest.groupBy("block").agg(F.sum("n_ids").alias("_n"))
     before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select("block", before("_n", W.orderBy("block")).alias("_before"))
@@ -365,7 +365,7 @@ def read_ids(manifest: DataFrame, key_type: T.DataType, key: str = "doc_id", out
                 cols |= {"ids": lambda cut=cut: [bytes(x) for x in cut], "ids_crc32": lambda cut=cut: [zlib.crc32(x) for x in cut]}
                 yield from pa.table([shard.keys(), *[pa.array(cols[o](), pa.binary() if o == "ids" else pa.int64()) for o in outputs]], names=[key, *outputs]).combine_chunks().to_batches()
 
-    return manifest.select("path", "offset", "start").repartition(min(-(-n // SHARDS_A_TASK), 100_000)).mapInArrow(run, schema)
+    return manifest.select("path", "offset", "start").repartition(min(-(-n // SHARDS_A_TASK), 100_000)).mapInArrow(tidy(run), schema)
 
 
 def op9_token_files(spark, sf_dir):

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import table, tidy
 from lodestone.llm.labelled import labelled_sample, scored
 
 #: Labelled rows that the model is fitted on, at most.
@@ -93,7 +93,7 @@ def screened(sample: DataFrame) -> list:
                 all_, bad = Counter(), Counter()
         yield pa.RecordBatch.from_pydict({"word": ["", *all_], "n": [n[0], *all_.values()], "bad": [n[1], *(bad[w] for w in all_)]})
 
-    counts = sample.select("text", "label").mapInArrow(run, "word string, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counts = sample.select("text", "label").mapInArrow(tidy(run), "word string, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = labelled_totals(sample)
     if not total[0] or not total[1] or total[0] == total[1]:
         return [], total
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, levels: int = GR
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), *b.columns[1:]], names=["x", "y", "fold"])
 
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
-    got = sample.select("text", "label", fold).mapInArrow(present, "x array<int>, y int, fold int").collect()  # at most `bound` short lists
+    got = sample.select("text", "label", fold).mapInArrow(tidy(present), "x array<int>, y int, fold int").collect()  # at most `bound` short lists
     got = sorted(got, key=lambda r: (r["fold"], r["y"], r["x"]))  # the model does not depend on the order of the rows
     rows, y = [r["x"] for r in got], np.array([int(r["y"] > 0) for r in got])
     grades = graded(rows, y, np.array([r["fold"] for r in got]), len(words), levels)

@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import gathered, opened, settled, shared_dir, table, tasks_for, write_file
+from lodestone.llm.common import gathered, opened, settled, shared_dir, table, tasks_for, tidy, write_file
 
 LEAST = 1000
 MAGIC = 0x184D2A5D
@@ -131,7 +131,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = LEAST,
             write_file(uri, archive(records))
             yield pa.RecordBatch.from_pydict({"path": [uri], "n_records": pa.array([len(records)], pa.int64())})
 
-    return settled(rows.mapInArrow(run, "path string, n_records long"))
+    return settled(rows.mapInArrow(tidy(run), "path string, n_records long"))
 
 
 def read_warc(manifest: DataFrame, html: bool = True) -> DataFrame:
@@ -157,7 +157,7 @@ def read_warc(manifest: DataFrame, html: bool = True) -> DataFrame:
                 kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64()}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()})
 
-    return manifest.select("path").repartition(min(n, 100_000)).mapInArrow(run, schema)
+    return manifest.select("path").repartition(min(n, 100_000)).mapInArrow(tidy(run), schema)
 
 
 def op5_warc(spark, sf_dir):
