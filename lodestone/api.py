@@ -22,14 +22,15 @@ class Engine:
     def tables(self) -> dict:
         return index.open_index(self.spark, self.at)
 
-    def sources(self) -> DataFrame:
-        return corpus.scan(self.spark, self.root, self.ignore)
+    def sources(self, unreadable: bool = False) -> DataFrame:
+        """The source files that no ignore file below the root leaves out, nor the engine's own rules."""
+        return corpus.scan(self.spark, self.root, self.ignore, rules=corpus.rules_below(self.root), unreadable=unreadable)
 
     def _parse(self, changed: DataFrame):
         parsed = cut(extract.parse_sources(changed.select("path", "content")))
         paths = self.sources().select("path")
         good = parsed.where("not failed")
-        return extract.symbol_rows(good), resolve.import_edges(extract.import_rows(good), extract.reexport_rows(good), paths, self.rules)
+        return extract.symbol_rows(good), resolve.import_edges(extract.import_rows(good), extract.reexport_rows(good), paths, self.rules), parsed.where("failed").select("path")
 
     def index(self, force: bool = False, incremental: bool = False, compat: bool = True) -> dict:
         """Brings the index up to date; returns its figures."""
@@ -41,7 +42,7 @@ class Engine:
                 "symbols": self.spark.createDataFrame([], "file_id long, name string, kind string, is_exported boolean, ref_count long"),
                 "edges": self.spark.createDataFrame([], "source_id long, target_id long, edge_type string, specifier string"),
             }
-        disk = self.sources()
+        disk = self.sources(unreadable=True)
         if not disk.isEmpty():
             index.publish(index.reindex(old, disk, self._parse, incremental, force, compat), self.at)
         t = self.tables()

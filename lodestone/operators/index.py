@@ -82,35 +82,44 @@ def same_content(files: DataFrame) -> DataFrame:
     return files.groupBy("hash").agg(F.count("*").alias("copies"), F.min("path").alias("first_path")).where("copies > 1")
 
 
+def next_times(files: DataFrame, marked: DataFrame, incremental: bool) -> DataFrame:
+    """files with the times of marked (path, mtime, status): changed files take theirs as it is, older or newer; files of the same content only in incremental mode."""
+    taken = marked.where(F.col("status").isin(["changed", "same"] if incremental else ["changed"]))
+    return update_mtimes(files, taken)
+
+
 def reindex(old: dict, disk: DataFrame, parse, incremental: bool = True, force: bool = False, compat: bool = True) -> dict:
     """The next state of {"files", "symbols", "edges"} after a scan of disk (path, content, hash, mtime).
 
-    parse(changed) gives (symbols, imports) with paths; compat keeps the edges of unchanged importers as they are, otherwise
-    all files are parsed again, so that new targets gain edges from them. Ranks are computed afresh if anything changed."""
+    Rows without content are files that can't be read now: they keep what is stored of them. parse(changed) gives (symbols,
+    imports) with paths, and as a third, if it has one, the paths that failed: these keep their symbols and edges. compat keeps
+    the edges of unchanged importers as they are, otherwise all files are parsed again, so that new targets gain edges from
+    them. Ranks are computed afresh if anything changed."""
     from lodestone.operators.graph import boosted_ranks
     from lodestone.tables import cut
 
-    marked = cut(detect_changes(disk, old["files"], incremental, force))
+    marked = cut(detect_changes(disk.where("content is not null"), old["files"], incremental, force))
     kept = delete_stale(old["files"], disk)
     changed = marked.where("status = 'changed'")
     if changed.isEmpty():
         symbols, edges = cascade(kept, old["symbols"], old["edges"])
-        return {"files": kept, "symbols": symbols, "edges": edges}
+        return {"files": next_times(kept, marked, incremental), "symbols": symbols, "edges": edges}
     todo = changed if compat else marked
-    symbols, imports = parse(todo)
+    symbols, imports, *failed = parse(todo)
     text_free = F.when(F.col("_h").isNull() | F.col("_h").eqNullSafe(F.col("hash")), F.col("summary"))
-    n = marked.select("path", F.col("hash").alias("_h"), F.col("mtime").alias("_m"))
+    n = marked.select("path", F.col("hash").alias("_h"))
     files = kept.join(n, "path", "full")
-    files = files.select(F.coalesce("id", F.xxhash64("path")).alias("id"), "path", F.coalesce("_h", "hash").alias("hash"), F.coalesce("rank", F.lit(0.0)).alias("rank"), F.greatest("_m", "mtime").alias("mtime"), text_free.alias("summary"), F.when(text_free.isNotNull() | F.col("_h").eqNullSafe(F.col("hash")), F.col("when_to_use")).alias("when_to_use"))
-    files = cut(files)
+    files = files.select(F.coalesce("id", F.xxhash64("path")).alias("id"), "path", F.coalesce("_h", "hash").alias("hash"), F.coalesce("rank", F.lit(0.0)).alias("rank"), "mtime", text_free.alias("summary"), F.when(text_free.isNotNull() | F.col("_h").eqNullSafe(F.col("hash")), F.col("when_to_use")).alias("when_to_use"))
+    files = cut(next_times(files, marked, incremental))
     ids = files.select("id", "path")
-    todo_ids = ids.join(todo.select("path"), "path", "left_semi").select("id")
+    done = todo.select("path").join(failed[0].select("path"), "path", "left_anti") if failed else todo.select("path")
+    done_ids = ids.join(done, "path", "left_semi").select("id")
     new_symbols = symbols.join(ids, "path").select(F.col("id").alias("file_id"), "name", "kind", "is_exported", "ref_count")
     by = lambda c: ids.select(F.col("id").alias(f"{c}_id"), F.col("path").alias(c))
     new_edges = imports.join(by("source"), "source").join(by("target"), "target").select("source_id", "target_id", "edge_type", "specifier")
     old_symbols, old_edges = cascade(files, old["symbols"], old["edges"])
-    symbols = replace_rows(old_symbols, new_symbols, todo_ids.withColumnRenamed("id", "file_id"), "file_id")
-    edges = cut(graph_edges(new_edges, old_edges, todo_ids.withColumnRenamed("id", "source_id")))
+    symbols = replace_rows(old_symbols, new_symbols, done_ids.withColumnRenamed("id", "file_id"), "file_id")
+    edges = cut(graph_edges(new_edges, old_edges, done_ids.withColumnRenamed("id", "source_id")))
     return {"files": update_ranks(files, boosted_ranks(files, edges)), "symbols": symbols, "edges": edges}
 
 

@@ -1,6 +1,7 @@
 """Source trees, datasets, logs and run archives as DataFrames."""
 
 import fnmatch
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from lodestone.tables import CASES, RUNS, with_missing
 
 GLOB = "*.{ts,tsx,js,jsx,mts,cts,mjs,cjs}"
+#: Ignore files that a folder may hold; rules of the later ones, and of deeper folders, win.
+IGNORE_FILES = (".gitignore", ".lodestoneignore")
 
 
 def ignore_rules(text: str) -> list[tuple[str, bool]]:
@@ -42,17 +45,37 @@ def not_ignored(path, rules):
     return keep
 
 
-def scan(spark: SparkSession, root: str, ignore: str = "", extra_ignore: str = "") -> DataFrame:
-    """(path, content, hash, mtime, length) of the sources below root: hidden and ignored ones are left out, and those that are no UTF-8.
+def rules_below(root: str, folder: str = "", rules=()) -> list[tuple[str, bool]]:
+    """The rules of the ignore files below root, those of deeper folders later. Hidden and ignored folders are not entered; only folders and ignore files are looked at, one listing a folder."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+    found, own = {i.base_name: i for i in system.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{folder}".rstrip("/")))}, []
+    for name in IGNORE_FILES:
+        if name in found and found[name].type == fs.FileType.File:
+            with system.open_input_file(found[name].path) as f:
+                own += [("^" + re.escape(folder) + regex.removeprefix("^"), negated) for regex, negated in ignore_rules(f.read().decode("utf-8", "replace"))]
+    out = [*own]
+    for name, info in sorted(found.items()):
+        path = f"{folder}{name}"
+        last = [negated for regex, negated in [*rules, *own] if re.match(regex, f"{path}/x")]
+        if info.type == fs.FileType.Directory and not name.startswith(".") and (not last or last[-1]):
+            out += rules_below(root, f"{path}/", [*rules, *own])
+    return out
+
+
+def scan(spark: SparkSession, root: str, ignore: str = "", extra_ignore: str = "", rules=(), unreadable: bool = False) -> DataFrame:
+    """(path, content, hash, mtime, length) of the sources below root: hidden and ignored ones are left out, and those that are no UTF-8, unless unreadable asks for them without content.
 
-    extra_ignore is looked at after ignore. Only rows that pass by path and time have their content decoded."""
+    ignore is looked at after rules, and extra_ignore after that. Only rows that pass by path and time have their content decoded."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
     base = root.rstrip("/")
     full = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     path = F.regexp_replace(full, "^" + re.escape(re.sub(r"^[a-z]+:/+", "/", base)) + "/", "")
-    kept = files.withColumn("path", path).where(~F.col("path").rlike(r"(^|/)\.") & not_ignored(F.col("path"), ignore_rules(ignore) + ignore_rules(extra_ignore)))
+    kept = files.withColumn("path", path).where(~F.col("path").rlike(r"(^|/)\.") & not_ignored(F.col("path"), [*rules, *ignore_rules(ignore), *ignore_rules(extra_ignore)]))
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return kept.select("path", text.alias("content"), F.sha2("content", 256).alias("hash"), F.unix_seconds("modificationTime").alias("mtime"), "length").where("content is not null")
+    rows = kept.select("path", text.alias("content"), F.sha2("content", 256).alias("hash"), F.unix_seconds("modificationTime").alias("mtime"), "length")
+    return rows if unreadable else rows.where("content is not null")
 
 
 def is_ignored(text: str, folder: str) -> bool:

@@ -153,3 +153,55 @@ def test_windows_over_events(spark, data, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(f"w{i}").count() > 0
+
+
+def _disk(spark, *rows):
+    """Rows of (path, content, mtime); the content is its own hash."""
+    return spark.createDataFrame([(p, c, c, t) for p, c, t in rows], "path string, content string, hash string, mtime long")
+
+
+def _parse(todo):
+    """A symbol a file, named as its content; each imports a.ts; contents with ! fail."""
+    good = todo.where("content not like '%!%'")
+    symbols = good.select("path", F.col("content").alias("name"), F.lit("Function").alias("kind"), F.lit(True).alias("is_exported"), F.lit(1).cast("long").alias("ref_count"))
+    edges = good.where("path <> 'a.ts'").select(F.col("path").alias("source"), F.lit("a.ts").alias("target"), F.lit("Import").alias("edge_type"), F.col("content").alias("specifier"))
+    return symbols, edges, todo.where("content like '%!%'").select("path")
+
+
+def test_reindex_keeps_real_times(spark):
+    times = lambda t: {r["path"]: (r["hash"], r["mtime"]) for r in t["files"].collect()}
+    one = index.reindex(empty_state(spark), _disk(spark, ("a.ts", "h1", 100), ("b.ts", "k1", 100)), _parse)
+    two = index.reindex(one, _disk(spark, ("a.ts", "h2", 50), ("b.ts", "k1", 100)), _parse, incremental=False)
+    assert times(two) == {"a.ts": ("h2", 50), "b.ts": ("k1", 100)}  # an older time of other content is stored as it is
+    three = index.reindex(two, _disk(spark, ("a.ts", "h3", 80), ("b.ts", "k1", 120)), _parse)
+    assert times(three) == {"a.ts": ("h3", 80), "b.ts": ("k1", 120)}
+    # nothing changed: touched files take their new times in incremental mode only
+    touched = _disk(spark, ("a.ts", "h3", 90), ("b.ts", "k1", 130))
+    assert times(index.reindex(three, touched, _parse, incremental=False)) == times(three)
+    assert times(index.reindex(three, touched, _parse)) == {"a.ts": ("h3", 90), "b.ts": ("k1", 130)}
+
+
+def test_reindex_keeps_what_can_not_be_read_or_parsed(spark):
+    one = index.reindex(empty_state(spark), _disk(spark, ("a.ts", "h1", 1), ("b.ts", "k1", 1), ("c.ts", "c1", 1)), _parse)
+    names = lambda t: sorted(r["name"] for r in t["symbols"].collect())
+    marks = lambda t: sorted(r["specifier"] for r in t["edges"].collect())
+    two = index.reindex(one, _disk(spark, ("a.ts", "h2", 2), ("b.ts", None, 2), ("c.ts", "c!", 2)), _parse)
+    assert names(two) == ["c1", "h2", "k1"] and marks(two) == ["c1", "k1"]
+    got = {r["path"]: (r["hash"], r["mtime"]) for r in two["files"].collect()}
+    assert got == {"a.ts": ("h2", 2), "b.ts": ("k1", 1), "c.ts": ("c!", 2)}
+    three = index.reindex(two, _disk(spark, ("a.ts", "h2", 2), ("c.ts", "c!", 2)), _parse)  # gone from the disk
+    assert names(three) == ["c1", "h2"] and marks(three) == ["c1"]
+
+
+def test_ignore_files_of_folders(spark, tmp_path):
+    files = {".gitignore": "node_modules/\n*.gen.ts\n", ".lodestoneignore": "old\n", "a.ts": "export const a = 1", "x.gen.ts": "", "node_modules/p/i.js": "", "node_modules/.gitignore": "!*", "sub/.gitignore": "!keep.gen.ts\n/only.ts\n", "sub/keep.gen.ts": "", "sub/only.ts": "", "sub/deep/only.ts": "", "old/o.ts": "", ".hidden/h.ts": ""}
+    for name, text in files.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text or "export const z = 1")
+    from lodestone.api import Engine
+
+    e = Engine(spark, str(tmp_path))
+    assert sorted(r["path"] for r in e.sources().select("path").collect()) == ["a.ts", "sub/deep/only.ts", "sub/keep.gen.ts"]
+    e.index()
+    assert e.tables()["files"].count() == 3
