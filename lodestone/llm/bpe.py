@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import table, tidy
 
-CHUNK = 12_000_000
+CHUNK = 6_000_000
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 NONE = np.iinfo(np.int32).max
 
