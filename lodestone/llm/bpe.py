@@ -57,13 +57,26 @@ class Merges:
 
     def one(self, piece: bytes) -> list[int]:
         """Ids of one piece, merging the leftmost pair of least rank again and again."""
-        parts = [bytes([b]) for b in piece]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
-            if rank == NONE:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        import heapq
+
+        parts: list = [bytes([b]) for b in piece]
+        after, before = [*range(1, len(parts) + 1)], [*range(-1, len(parts) - 1)]
+        rank = lambda i, j: self.ranks.get(parts[i] + parts[j], NONE)
+        heap = [(r, i, i + 1) for i in range(len(parts) - 1) if (r := rank(i, i + 1)) != NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i, j = heapq.heappop(heap)
+            if parts[i] is None or after[i] != j or rank(i, j) != r:
+                continue  # one of the two has been merged meanwhile
+            parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
+            k, h = after[i], before[i]
+            if k < len(parts):
+                before[k] = i
+                if rank(i, k) != NONE:
+                    heapq.heappush(heap, (rank(i, k), i, k))
+            if h >= 0 and rank(h, i) != NONE:
+                heapq.heappush(heap, (rank(h, i), h, i))
+        return [self.ranks[p] for p in parts if p is not None]
 
     def replay(self, pieces: list[bytes]):
         """(ids, starts): the ids of pieces[i] are ids[starts[i] : starts[i + 1]]."""

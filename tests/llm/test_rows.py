@@ -88,6 +88,18 @@ def test_pieces_merged_one_by_one_agree():
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [m.one(p) for p in pieces]
 
 
+def test_pieces_merged_one_by_one_equal_the_library():
+    import time
+
+    m, e, rng = bpe.Merges(), tiktoken_encoding(), np.random.default_rng(8)
+    for _ in range(200):
+        piece = "".join(rng.choice(list("aeinrst"), rng.integers(1, 80)))
+        assert m.one(piece.encode()) == e.encode_ordinary(piece)
+    began = time.time()
+    m.one(b"ab" * 100_000)
+    assert time.time() - began < 20  # grows nearly as the piece does
+
+
 def test_bpe_query(spark, odd, folder):
     e = tiktoken_encoding()
     got = bpe.op6_bpe(spark, folder()).collect()
