@@ -50,3 +50,10 @@ def language(path: Column) -> Column:
 def prompt_chars(path: Column, exports: Column) -> Column:
     """Estimated length of the prompt that describes a file: 200, its path, and each export with 4 more."""
     return (F.lit(200) + F.octet_length(path) + F.aggregate(exports, F.lit(0), lambda a, x: a + F.octet_length(x) + 4)).cast("long")
+
+
+def below(path, root: str):
+    """path as seen from root: without it if it lies below, and without a leading "./"; others as they are."""
+    base = root if root.endswith("/") else f"{root}/"
+    cut = F.when(path.startswith(base), F.substring(path, len(base) + 1, 1_000_000)).otherwise(path)
+    return F.regexp_replace(cut, r"^(\./)+", "")

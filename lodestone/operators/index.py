@@ -107,7 +107,7 @@ def reindex(old: dict, disk: DataFrame, parse, incremental: bool = True, force:
     todo = changed if compat else marked
     symbols, imports, *failed = parse(todo)
     text_free = F.when(F.col("_h").isNull() | F.col("_h").eqNullSafe(F.col("hash")), F.col("summary"))
-    n = marked.select("path", F.col("hash").alias("_h"))
+    n = changed.select("path", F.col("hash").alias("_h"))  # a file that is skipped for its time keeps its hash
     files = kept.join(n, "path", "full")
     files = files.select(F.coalesce("id", F.xxhash64("path")).alias("id"), "path", F.coalesce("_h", "hash").alias("hash"), F.coalesce("rank", F.lit(0.0)).alias("rank"), "mtime", text_free.alias("summary"), F.when(text_free.isNotNull() | F.col("_h").eqNullSafe(F.col("hash")), F.col("when_to_use")).alias("when_to_use"))
     files = cut(next_times(files, marked, incremental))

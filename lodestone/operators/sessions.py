@@ -35,6 +35,12 @@ def first_turn(calls: DataFrame, relevant: Column) -> DataFrame:
     return turned.groupBy("session").agg(F.min(F.when(relevant, F.col("turn"))).alias("first_relevant_turn"))
 
 
+def metrics(calls: DataFrame, relevant: Column, hook: Column) -> DataFrame:
+    """(session, calls, by_tool, files, first_relevant_turn, hooked) from (session, line, tool, file): one row a session, with its different files in order and whether any call is the hook's."""
+    read = calls.groupBy("session").agg(F.sort_array(F.collect_set("file")).alias("files"), F.bool_or(hook).alias("hooked"))
+    return tool_counts(calls).withColumnRenamed("total", "calls").join(read, "session").join(first_turn(calls, relevant), "session").select("session", "calls", "by_tool", "files", "first_relevant_turn", "hooked")
+
+
 #: Names looked for at once, and blocks of names up to which all are sent to every executor.
 NAMES, BLOCKS = 10_000, 100
 

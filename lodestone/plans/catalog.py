@@ -275,6 +275,30 @@ def change_detection_hash(spark, d):
     return index.detect_changes(new, old, incremental=False).groupBy("status").agg(F.count("*").alias("n"))
 
 
+_NEXT = "CASE WHEN coalesce(n.mtime <= o.mtime, false) THEN o.mtime ELSE n.mtime END"
+
+
+@query(
+    "reindex_times",
+    f"""WITH {_SNAP} SELECT 'incremental' AS mode, o.path, CASE WHEN n.path IS NULL THEN o.mtime ELSE {_NEXT} END AS mtime FROM old o LEFT JOIN new n USING (path)
+UNION ALL SELECT 'by hash', o.path, CASE WHEN n.hash <> o.hash THEN n.mtime ELSE o.mtime END FROM old o LEFT JOIN new n USING (path)""",
+)
+def reindex_times(spark, d):
+    old, new = a.snapshots(spark, d)
+    times = lambda mode, incremental: index.next_times(old, index.detect_changes(new, old, incremental), incremental).select(F.lit(mode).alias("mode"), "path", "mtime")
+    return times("incremental", True).unionAll(times("by hash", False))
+
+
+@query("reindex_files", f"WITH {_SNAP} SELECT n.path, n.hash, {_NEXT} AS mtime, CASE WHEN n.hash = o.hash THEN o.summary END AS summary FROM new n LEFT JOIN old o USING (path)")
+def reindex_files(spark, d):
+    old, new = a.snapshots(spark, d)
+    files = old.select(F.xxhash64("path").alias("id"), "path", "hash", F.lit(0.0).alias("rank"), "mtime", "summary", F.lit(None).cast("string").alias("when_to_use"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    state = {"files": files, "symbols": none("file_id long, name string, kind string, is_exported boolean, ref_count long"), "edges": none("source_id long, target_id long, edge_type string, specifier string")}
+    parsed = none("path string, name string, kind string, is_exported boolean, ref_count long"), none("source string, target string, edge_type string, specifier string")
+    return index.reindex(state, new.withColumn("content", F.lit("")), lambda _: parsed)["files"].select("path", "hash", "mtime", "summary")
+
+
 @query("upsert_files", f"WITH {_SNAP} SELECT coalesce(n.path, o.path) AS path, coalesce(n.hash, o.hash) AS hash, coalesce(n.mtime, o.mtime) AS mtime, CASE WHEN n.hash IS NULL OR n.hash = o.hash THEN o.summary END AS summary FROM old o FULL JOIN new n ON n.path = o.path")
 def upsert_files(spark, d):
     return index.upsert_files(*a.snapshots(spark, d))
@@ -539,6 +563,22 @@ def session_flags(spark, d):
     return a.sessions(spark, d).groupBy("session").agg(F.bool_or(F.col("tool") == "error").alias("failed"), F.count_distinct("arg").alias("args"), F.max("value").alias("most"))
 
 
+@query(
+    "session_metrics",
+    f"""WITH {_SESSIONS}, t AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY line) AS turn FROM sessions)
+SELECT session, count(*) AS calls, count(DISTINCT tool) AS tools, array_to_string(list_sort(list(DISTINCT arg::VARCHAR)), ' ') AS files, min(turn) FILTER (arg >= 90) AS first_relevant_turn, bool_or(tool = 'error') AS hooked FROM t GROUP BY session""",
+)
+def session_metrics(spark, d):
+    calls = a.sessions(spark, d).withColumn("file", F.col("arg").cast("string"))
+    m = sessions.metrics(calls, F.col("arg") >= 90, F.col("tool") == "error")
+    return m.select("session", "calls", F.size("by_tool").cast("long").alias("tools"), F.array_join("files", " ").alias("files"), F.col("first_relevant_turn").cast("long").alias("first_relevant_turn"), "hooked")
+
+
+@query("paths_below", "SELECT page_id, regexp_replace(CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END, '^(\\./)+', '') AS path FROM pages")
+def paths_below(spark, d):
+    return a.read(spark, d, "pages").select("page_id", tx.below(F.col("url"), "https://").alias("path"))
+
+
 _WIN = "w AS (SELECT *, row_number() OVER k AS n, lead(f1) OVER k AS f2, lead(tools) OVER k AS t2 FROM variants WINDOW k AS (PARTITION BY case_id ORDER BY f1 DESC, tools, variant)), win AS (SELECT case_id, CASE WHEN f2 IS NULL OR f1 > f2 + 0.01 OR tools < t2 THEN variant ELSE 'tie' END AS winner FROM w WHERE n = 1)"
 
 
