@@ -553,6 +553,44 @@ def test_all_training_texts_are_trained_on(spark, monkeypatch):
     assert means[1] > means[0] * 0.7
 
 
+def test_a_pass_predicts_each_id_once(monkeypatch):
+    """Every id after the first of its document is predicted once, whatever the lengths, and steps drawn at random are besides."""
+    sizes = [1, 2, 5, 150, 1, 333, 16, 32]
+    ids, doc = np.arange(sum(sizes)) % 50, np.repeat(np.arange(len(sizes)), sizes)
+    met, once, half = [], lm_scoring.Trainer.once, lm_scoring.WINDOW // 2
+
+    def watched(self, i, d, starts, rate):
+        q = (starts[:, None] + half + np.arange(half)).ravel()
+        met.extend((q - half)[(d[q] >= 0) & (d[q + 1] == d[q])].tolist())  # half a window is put before the first id
+        once(self, i, d, starts, rate)
+
+    m, _ = small_model(ids, doc)
+    monkeypatch.setattr(lm_scoring.Trainer, "once", watched)
+    t = lm_scoring.Trainer(m, 1)
+    t.run(ids, doc, None, 7)
+    assert sorted(met) == np.flatnonzero(doc[1:] == doc[:-1]).tolist() and t.seen == len(met)
+    t.run(ids[:0], doc[:0], None)
+    assert t.seen == len(met)
+
+
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_training_takes_every_text(spark, monkeypatch, tasks):
+    """The rounds together predict all ids of the training texts, not a share of them."""
+    monkeypatch.setattr(lm_scoring, "tasks_for", lambda *_: tasks)
+    monkeypatch.setattr(lm_scoring, "BATCH", 4)
+    k, rng = lm_scoring.load_tokenizer(), np.random.default_rng(8)
+    words = np.array("the of and run running house houses light lighter river stone walk".split())
+    rows = [(i, " ".join(words[rng.integers(0, len(words), 40)])) for i in range(400)]
+    coded = lm_scoring.settled(lm_scoring.encoded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k.size))
+    learnt = coded.where("not held_out")
+    per_text = [len(r["ids"]) // 2 for r in learnt.select("ids").collect()]  # 50,000 ids fit 16 bits
+    counts = np.append(lm_scoring.by_id(coded.selectExpr("inline(seen)").groupBy("id").agg({"n": "sum"}).toDF("id", "n"), k.size), [0, len(per_text)])
+    m = lm_scoring.untrained(counts, np.append(k.opens, [True, True]), lambda a, b, shape: lm_scoring.successions(learnt, k.size, a, b, shape))
+    after = lm_scoring.trained(learnt, m, k.size, int(counts.sum()), steps=1)
+    assert after.seen == sum(per_text) + len(per_text)  # BEGIN predicts the first id, the last one END
+    assert all(np.abs(after.tables[n] - m.tables[n]).max() > 0 for n in ("q", "k", "v", "bias", "out", "last"))
+
+
 def test_stored_ids_and_words(spark):
     """Ids, words and their sizes come back as they are, words of many ids among them."""
     import pyarrow as pa
