@@ -143,6 +143,29 @@ def test_parts_equal_whole_texts():
             assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids + [0]
 
 
+def test_pieces_equal_whole_texts():
+    """Cuts before marks and at line ends change no id, whatever stands beside them."""
+    k, library, rng = token_files.load_tokenizer(), fresh_tokenizer(), np.random.default_rng(12)
+    signs = np.array([*"aBz19éØ×ª中.,;:!?*%&$#)]}\"'-<|>(", *" \n\n\r\t", "\x0b", "\x85", "\xa0", "\u2028", "  ", "'s", "'ll", ".\n", "lo", "Lo.\nMe", "<|endoftext|>"])
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 40, 3000)] + ["x\x01.\ny a."]
+    coder = token_files.Coder(k)
+    for some in (texts[:1500], texts[1500:-1], texts[-1:]):
+        ids, sizes = coder.encode(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids + [0] for t in some]
+
+
+def test_words_reach_the_library_once():
+    """Whatever mark or line end follows them."""
+    k, sent = token_files.load_tokenizer(), []
+    encode = k.encode_batch_fast
+    k.encode_batch_fast = lambda strings, **a: sent.extend(strings) or encode(strings, **a)
+    coder = token_files.Coder(k)
+    for text in ("say lodestone lodestone. lodestone, lodestone!!", "lodestone; lodestone.\nlodestone lodestone?\nlodestone. lodestone:"):
+        ids, _ = coder.encode([text])
+        assert ids.tolist() == [*fresh_tokenizer().encode(text, add_special_tokens=False).ids, 0]
+    assert "".join(sent).count(" lodestone") == 1 and "".join(sent).count("\nlodestone") == 1
+
+
 @pytest.mark.parametrize("ids", [[], [1], [1, 2] * 500, [7] * 333, list(np.random.default_rng(1).integers(0, 30, 5000))])
 def test_grammar_round_trip(ids, tmp_path):
     ids = np.array(ids, np.uint32)
