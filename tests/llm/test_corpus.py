@@ -613,6 +613,20 @@ def test_stored_ids_and_words(spark):
     assert len(set(keys.tolist())) == len({tuple(x) for x in want})
 
 
+def test_marks_do_not_spell_a_word_again():
+    """A word reaches the library once, whatever marks follow it; its ids with them are the library's."""
+    import pyarrow as pa
+
+    k, sent = lm_scoring.load_tokenizer(), []
+    encode = k.encode_batch_fast
+    k.encode_batch_fast = lambda strings, **a: sent.extend(strings) or encode(strings, **a)
+    speller, words = lm_scoring.Speller(k), "lodestone lodestone. lodestone, lodestone!! \x85lodestone \xa0. x".split(" ")
+    for some in (words[:3], words):
+        ids, sizes = speller.ids(speller.words(pa.array([" ".join(some)]))[0])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [k.inner.encode(f" {w}", add_special_tokens=False).ids for w in some]
+    assert "".join(sent).count(" lodestone") == 1
+
+
 # --- pipeline ---
 
 
