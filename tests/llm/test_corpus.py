@@ -573,6 +573,51 @@ def test_a_pass_predicts_each_id_once(monkeypatch):
     assert t.seen == len(met)
 
 
+def test_a_step_calls_once_for_all_classes(monkeypatch):
+    """A training step's calls do not grow with the classes: one exponential for attention, one for classes, one for the ids within all of them."""
+    rng, calls, exp = np.random.default_rng(9), [], np.exp
+    ids, doc = rng.integers(0, 50, 2000), np.repeat(np.arange(10), 200)
+    _, t = small_model(ids, doc, steps=1)
+    monkeypatch.setattr(np, "exp", lambda *a, **k: calls.append(len(a[0])) or exp(*a, **k))
+    t.run(ids, doc, 1, 64)
+    assert len(calls) == 3
+
+
+def test_gradients_by_definition():
+    """The gradients of a step are the slopes of the loss that predict() tells of all ids."""
+    rng = np.random.default_rng(10)
+    ids, doc = rng.integers(0, 50, 400), np.repeat([0, 1, 2, 3], [90, 1, 200, 109])
+    m, _ = small_model(ids, doc)
+    t = lm_scoring.Trainer(m, 2)
+    t.run(ids, doc, None, 1000)  # one step
+    slopes = lm_scoring._parted(t.mom / np.float32(0.1), m.tables)
+    live = np.append(False, doc[1:] == doc[:-1])
+
+    def loss():
+        return -(m.predict(ids, doc)[0] - m.share[ids])[live].mean()
+
+    assert t.step == 1 and t.seen == live.sum() and t.log[0] == pytest.approx(loss(), abs=1e-5)
+    for name, table in m.tables.items():
+        flat, want = table.ravel(), slopes[name].ravel()
+        for i in np.argsort(-np.abs(want), kind="stable")[[0, 1, 5]]:
+            was, each = flat[i], []
+            for by in (-0.02, 0.02):
+                flat[i] = was + np.float32(by)
+                each.append(loss())
+            flat[i] = was
+            assert want[i] == pytest.approx((each[1] - each[0]) / 0.04, rel=0.02, abs=1e-5), name
+
+
+def test_words_are_found_among_known_ones():
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(np.concatenate((rng.integers(-(2**63), 2**63 - 1, n), np.array([-(2**63), 2**63 - 1, 5, 6, 7] if n > 2 else [], np.int64))))
+        asked = np.concatenate((keys, keys[:-1] + 1, rng.integers(-(2**63), 2**63 - 1, 500), np.array([-(2**63), 2**63 - 1, 0, -1])))
+        at, there = lm_scoring.Sorted(keys).find(asked)
+        assert there.tolist() == np.isin(asked, keys).tolist() and keys[at[there]].tolist() == asked[there].tolist()
+    assert not len(lm_scoring.Sorted(keys).find(keys[:0])[0])
+
+
 @pytest.mark.parametrize("tasks", [1, 3])
 def test_training_takes_every_text(spark, monkeypatch, tasks):
     """The rounds together predict all ids of the training texts, not a share of them."""
