@@ -4,9 +4,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.tables import cut
+from lodestone.operators import blocks
+from lodestone.tables import cut, read_array, shared_dir, write_array
 
-#: Distinct edges and nodes up to which PageRank runs in one task (40 bytes each in numpy); beyond, it iterates as joins.
+#: Distinct edges and nodes up to which PageRank runs in one task; beyond, its blocks are dealt over tasks.
 ONE_TASK = 5_000_000
 
 
@@ -81,34 +82,26 @@ def mutual(edges: DataFrame) -> DataFrame:
     return e.join(e.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("source_id")), ["source_id", "target_id"]).where("source_id < target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
 
 
-def _step(pr, src, dst, out, n, damping, variant, jump):
-    """One iteration over arrays; jump: teleport shares of the nodes."""
-    flow = np.zeros(n) + np.bincount(dst, damping * pr[src] / out[src], n)
-    lost = pr[out == 0].sum()
-    if variant == "library":
-        flow -= np.bincount(dst, (1 - damping) * pr[src], n) / n
-        return flow + damping * lost / n + (1 - damping) * (1 - lost) / n
-    return flow + (damping * lost + (1 - damping)) * jump
+def _ranked(x, base, jump, out, damping, back):
+    """A block's ranks from what flows to it, what it sends to each node it links to, and the sums of all ranks and of those that link to none."""
+    pr = x + (base if jump is None else base * jump)
+    with np.errstate(divide="ignore"):
+        sent = np.where(out > 0, damping * pr / out, 0.0) - back * pr
+    return pr, sent, pr.sum(), pr[out == 0].sum()
 
 
-def _one_task(nodes, edges, damping, iterations, variant, personal):
-    def run(key, a, b):
-        import pandas as pd
+def _flow(block, size, sent):
+    """The sums over each row's columns, 0 for rows that aren't there."""
+    x = np.zeros(size)
+    if block is not None:
+        rows, start, cols = block
+        x[rows] = np.add.reduceat(sent[cols], start)
+    return x
 
-        ids = a["id"].to_numpy()
-        n = len(ids)
-        at = pd.Index(ids)
-        src, dst = at.get_indexer(b["source_id"]), at.get_indexer(b["target_id"])
-        out = np.bincount(src, b["n"].to_numpy(), n) if len(b) else np.zeros(n)
-        jump = a["w"].to_numpy() / a["w"].sum()
-        pr = np.full(n, 1.0 / n)
-        for _ in range(iterations):
-            pr = _step(pr, src, dst, out, n, damping, variant, jump)
-            pr = pr / pr.sum()
-        return pd.DataFrame({"id": ids, "pr": pr})
 
-    left = nodes.withColumn("g", F.lit(0)).groupBy("g")
-    return left.cogroup(edges.withColumn("g", F.lit(0)).groupBy("g")).applyInPandas(run, "id long, pr double")
+def _base(variant, damping, lost, n):
+    """What each node gets beside its links; times its share of the jumps in the standard form."""
+    return damping * lost / n + (1 - damping) * (1 - lost) / n if variant == "library" else damping * lost + 1 - damping
 
 
 def pagerank(files: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, variant: str = "library", personal: DataFrame | None = None, one_task: int = ONE_TASK) -> DataFrame:
@@ -116,34 +109,92 @@ def pagerank(files: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
 
     variant "library": a target gets (1 - damping) / n only from nodes that neither link to it nor dangle, repeated edges
     lower a source's share but count once; "standard": the textbook form with the mass of dangling nodes spread evenly.
-    personal (id, weight): where the standard variant's jumps lead. Graphs beyond one_task edges iterate as joins, their
-    lineage cut after each step."""
+    personal (id, weight): where the standard variant's jumps lead. The edges are shuffled once, into blocks in the shared
+    folder; a graph of up to one_task edges and nodes is then iterated by one task, beyond by a job a step whose tasks read
+    the blocks and what each node sends (8 bytes a node) and write what it sends next."""
     if personal is not None and variant != "standard":
         raise ValueError("personal weights need the standard variant")
+    spark = files.sparkSession
     nodes = files.select("id").distinct()
     nodes = nodes.withColumn("w", F.lit(1.0)) if personal is None else nodes.join(personal.select("id", F.col("weight").alias("w")), "id", "left").na.fill(0.0, ["w"])
-    counted = edges.groupBy("source_id", "target_id").agg(F.count("*").alias("n"))
-    counted = cut(counted.join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi"))
-    n, m = nodes.count(), counted.count()
+    folder = shared_dir(spark)
+    n = blocks.write_nodes(nodes, folder)
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pr"))
-    if max(n, m) <= one_task:
-        return _one_task(nodes, counted, damping, iterations, variant, personal)
-    out = counted.groupBy(F.col("source_id").alias("id")).agg(F.sum("n").alias("out"))
-    total = nodes.agg(F.sum("w").alias("w")).first()["w"]
-    ranks = cut(nodes.join(out, "id", "left").select("id", "out", (F.col("w") / total).alias("jump"), F.lit(1.0 / n).alias("pr")))
+    parts = blocks.parts_for(spark, n)
+    m = blocks.write_adjacency(edges, folder, n, parts)
+    filled = blocks.there(folder, "rows")
     back = (1 - damping) / n if variant == "library" else 0.0
-    for _ in range(iterations):
-        mass = ranks.agg(F.sum("pr").alias("s"), F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("pr"))), F.lit(0.0)).alias("lost")).first()
-        lost, linked = mass["lost"] / mass["s"], 1 - mass["lost"] / mass["s"]
-        share = F.col("pr") / mass["s"]  # ranks are brought to the sum 1 as they are read
-        sent = ranks.select(F.col("id").alias("source_id"), share.alias("pr"), "out")
-        flow = counted.join(sent, "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum(damping * F.col("pr") / F.col("out") - back * F.col("pr")).alias("x"))
-        base = F.lit(damping * lost / n + (1 - damping) * linked / n) if variant == "library" else F.col("jump") * (damping * lost + 1 - damping)
-        ranks = cut(ranks.drop("pr").join(flow, "id", "left").select("id", "out", "jump", (F.coalesce("x", F.lit(0.0)) + base).alias("pr")))
-    s = ranks.agg(F.sum("pr").alias("s")).first()["s"]
-    ranks = ranks.withColumn("pr", F.col("pr") / s)
-    return ranks.select("id", "pr")
+
+    def jumps(b):
+        if variant == "library":
+            return None
+        w = read_array(f"{folder}/w", "f8")
+        return w[b::parts] / w.sum()
+
+    def ranks(ids, pr):
+        import pyarrow as pa
+
+        for i in range(0, len(ids), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(pr[i : i + 100_000])], names=["id", "pr"])
+
+    def alone(batches):
+        if not sum(b.num_rows for b in batches):
+            return
+        have = [(blocks.block(folder, b) if b in filled else None, blocks.out_degrees(folder, n, parts, b, filled), jumps(b)) for b in range(parts)]
+        pr, sent, lost, total = np.full(n, 1.0 / n), np.empty(n), 0.0, 1.0
+        for b, (_, out, jump) in enumerate(have):
+            _, sent[b::parts], _, x = _ranked(np.full(len(out), 1.0 / n), 0.0, None, out, damping, back)
+            lost += x
+        for _ in range(iterations):
+            base, then, next_lost, next_total = _base(variant, damping, lost / total, n), np.empty(n), 0.0, 0.0
+            for b, (block, out, jump) in enumerate(have):
+                pr[b::parts], then[b::parts], s, x = _ranked(_flow(block, len(out), sent) / total, base, jump, out, damping, back)
+                next_total, next_lost = next_total + s, next_lost + x
+            sent, lost, total = then, next_lost, next_total
+        yield from ranks(read_array(f"{folder}/id", "i8"), pr / total)
+
+    if max(n, m) <= one_task:
+        return spark.range(0, 1, 1, 1).mapInArrow(alone, "id long, pr double")
+
+    def step(at, lost, total):
+        base = _base(variant, damping, lost / total, n)
+
+        def run(batches):
+            import pyarrow as pa
+
+            sent = None
+            for b in (x for batch in batches for x in batch.column(0).to_pylist()):
+                if not at:
+                    out = blocks.out_degrees(folder, n, parts, b, filled)
+                    write_array(f"{folder}/out/{b}", out)
+                    pr, then, s, x = _ranked(np.full(len(out), 1.0 / n), 0.0, None, out, damping, back)
+                else:
+                    sent = blocks.gathered(folder, f"sent{at - 1}", n, parts) if sent is None else sent
+                    out = read_array(f"{folder}/out/{b}", "f8")
+                    flow = _flow(blocks.block(folder, b) if b in filled else None, len(out), sent)
+                    pr, then, s, x = _ranked(flow / total, base, jumps(b), out, damping, back)
+                if at < iterations:
+                    write_array(f"{folder}/sent{at}/{b}", then)
+                else:
+                    write_array(f"{folder}/pr/{b}", pr)
+                yield pa.RecordBatch.from_pydict({"b": [b], "s": [s], "x": [x]})
+
+        rows = sorted(blocks.over(spark, parts).mapInArrow(run, "b long, s double, x double").collect())  # a row a block
+        return sum(r["x"] for r in rows), sum(r["s"] for r in rows)
+
+    lost, total = 0.0, 1.0
+    for at in range(iterations + 1):
+        lost, total = step(at, lost, total)
+        if at:
+            blocks.drop(folder, f"sent{at - 1}")
+
+    def last(batches):
+        ids = read_array(f"{folder}/id", "i8")
+        for b in (x for batch in batches for x in batch.column(0).to_pylist()):
+            yield from ranks(ids[b::parts], read_array(f"{folder}/pr/{b}", "f8") / total)
+
+    return blocks.over(spark, parts).mapInArrow(last, "id long, pr double")
 
 
 def boosted_ranks(files: DataFrame, edges: DataFrame, **options) -> DataFrame:

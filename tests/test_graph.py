@@ -128,3 +128,24 @@ def test_unknown_file(spark):
         graph.deps(files, edges, "nope")
     assert graph.neighbours(files, edges, "nope").count() == 0
     assert {r["direction"] for r in graph.deps(files, edges, "f0", "sideways").select(F.col("direction")).collect()} == {"imports"}
+
+
+def no_checkpoint(df):
+    raise AssertionError("a step cuts its lineage by a checkpoint of all nodes and edges")
+
+
+def scattered(spark):
+    """A graph with a hub, repeated edges, loops, edges to unknown nodes and ids far apart, and its plain pairs."""
+    rng = random.Random(5)
+    pairs = [(rng.randrange(20), rng.randrange(20)) for _ in range(60)] + [(i, 3) for i in range(25)] + [(4, 4)] * 3
+    far = lambda i: i * i * 1_000_003 - 7
+    files = spark.createDataFrame([(far(i), f"f{i}") for i in range(25)], "id long, path string")
+    edges = spark.createDataFrame([(far(a), far(b), "Import", "./x") for a, b in pairs] + [(far(1), 5, "Import", "./x"), (6, far(1), "Import", "./x"), (None, far(1), "Import", "./x")], "source_id long, target_id long, edge_type string, specifier string")
+    return files, edges, pairs, far
+
+
+def test_library_steps_need_no_checkpoint(spark, monkeypatch):
+    monkeypatch.setattr(graph, "cut", no_checkpoint)
+    files, edges, pairs, far = scattered(spark)
+    got = ranks(graph.pagerank(files, edges, one_task=0, iterations=15))
+    assert [got[far(i)] for i in range(25)] == pytest.approx(dense(25, pairs, "library", steps=15), abs=1e-12)
