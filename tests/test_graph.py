@@ -149,3 +149,13 @@ def test_library_steps_need_no_checkpoint(spark, monkeypatch):
     files, edges, pairs, far = scattered(spark)
     got = ranks(graph.pagerank(files, edges, one_task=0, iterations=15))
     assert [got[far(i)] for i in range(25)] == pytest.approx(dense(25, pairs, "library", steps=15), abs=1e-12)
+
+
+def test_standard_steps_need_no_checkpoint(spark, monkeypatch):
+    monkeypatch.setattr(graph, "cut", no_checkpoint)
+    files, edges, pairs, far = scattered(spark)
+    got = ranks(graph.pagerank(files, edges, variant="standard", one_task=0, iterations=15))
+    assert [got[far(i)] for i in range(25)] == pytest.approx(dense(25, pairs, "standard", steps=15), abs=1e-12)
+    to = spark.createDataFrame([(far(2), 1.0), (far(9), 3.0)], "id long, weight double")
+    one, many = (ranks(graph.pagerank(files, edges, variant="standard", personal=to, one_task=m, iterations=15)) for m in (10**6, 0))
+    assert one == pytest.approx(many, abs=1e-12) and sum(one.values()) == pytest.approx(1)
