@@ -159,3 +159,12 @@ def test_standard_steps_need_no_checkpoint(spark, monkeypatch):
     to = spark.createDataFrame([(far(2), 1.0), (far(9), 3.0)], "id long, weight double")
     one, many = (ranks(graph.pagerank(files, edges, variant="standard", personal=to, one_task=m, iterations=15)) for m in (10**6, 0))
     assert one == pytest.approx(many, abs=1e-12) and sum(one.values()) == pytest.approx(1)
+
+
+def test_boosted_ranks_need_no_checkpoint(spark, monkeypatch):
+    monkeypatch.setattr(graph, "cut", no_checkpoint)
+    files, edges, pairs, far = scattered(spark)
+    got = {r["id"]: r["rank"] for r in graph.boosted_ranks(files, edges, one_task=0, iterations=15).collect()}
+    want = dense(25, pairs, "library", steps=15)
+    degree = [sum(b == i for _, b in pairs) + 2 * (i == 1) for i in range(25)]  # edges from unknown files count in the degree
+    assert [got[far(i)] for i in range(25)] == pytest.approx([want[i] * 25 * math.log2(degree[i] + 2) for i in range(25)], abs=1e-9)
