@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import enrich, evaluate, extract, graph, index, lookup, relevance, resolve, sessions
 from lodestone.sources import adapters as a
-from lodestone.tables import cut
+from lodestone.tables import stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -432,28 +432,28 @@ _MODULE = "'m' || {} || '.ts'"
 
 @query("parsed_imports", f"WITH {_EDGES} SELECT {_MODULE.format('source_id')} AS path, './m' || target_id AS source, CASE edge_type WHEN 'Import' THEN 'n' || specifier ELSE '*' END AS name, CASE edge_type WHEN 'Import' THEN 'Named' ELSE 'Namespace' END AS kind FROM edges WHERE edge_type <> 'ReExport'")
 def parsed_imports(spark, d):
-    return extract.import_rows(extract.parse_sources(a.code(spark, d)))
+    return extract.import_rows(extract.parse_sources(a.code(spark, d), ("imports",)))
 
 
 @query("parsed_reexports", f"WITH {_EDGES} SELECT {_MODULE.format('source_id')} AS path, './m' || target_id AS source, 'a' AS local, 'n' || specifier AS exported FROM edges WHERE edge_type = 'ReExport'")
 def parsed_reexports(spark, d):
-    return extract.reexport_rows(extract.parse_sources(a.code(spark, d)))
+    return extract.reexport_rows(extract.parse_sources(a.code(spark, d), ("reexports",)))
 
 
 @query("parsed_symbols", f"WITH {_SYMBOLS} SELECT {_MODULE.format('file_id')} AS path, replace(name, '#', '_') AS name, CASE WHEN is_exported THEN kind ELSE 'Variable' END AS kind, is_exported FROM symbols")
 def parsed_symbols(spark, d):
-    rows = extract.symbol_rows(extract.parse_sources(a.code(spark, d)))
+    rows = extract.symbol_rows(extract.parse_sources(a.code(spark, d), ("exports", "symbols")))
     return rows.where("name like 'Supplier%'").select("path", "name", "kind", "is_exported")
 
 
 @query("parsed_signatures", f"""WITH {_SYMBOLS} SELECT {_MODULE.format('file_id')} AS path, CASE WHEN is_exported THEN 'export ' ELSE '' END || CASE kind WHEN 'Function' THEN 'function ' || replace(name, '#', '_') || '(a: string, b = `x$' WHEN 'Class' THEN 'class ' || replace(name, '#', '_') ELSE 'const ' || replace(name, '#', '_') END AS signature FROM symbols""")
 def parsed_signatures(spark, d):
-    return extract.parse_sources(a.code(spark, d)).select("path", F.explode("signatures").alias("signature"))
+    return extract.parse_sources(a.code(spark, d), ("signatures",)).select("path", F.explode("signatures").alias("signature"))
 
 
 @query("parsed_edges", f"WITH {_EDGES}, known AS (SELECT source_id AS id FROM edges UNION SELECT l_partkey FROM lineitem) SELECT {_MODULE.format('source_id')} AS source, {_MODULE.format('target_id')} AS target, edge_type, './m' || target_id AS specifier FROM edges WHERE target_id IN (FROM known)")
 def parsed_edges(spark, d):
-    parsed = cut(extract.parse_sources(a.code(spark, d)))  # three branches read it
+    parsed = stored(extract.parse_sources(a.code(spark, d), ("imports", "reexports")))  # three branches read it
     return resolve.import_edges(extract.import_rows(parsed), extract.reexport_rows(parsed), parsed.select("path"))
 
 

@@ -205,3 +205,33 @@ def test_ignore_files_of_folders(spark, tmp_path):
     assert sorted(r["path"] for r in e.sources().select("path").collect()) == ["a.ts", "sub/deep/only.ts", "sub/keep.gen.ts"]
     e.index()
     assert e.tables()["files"].count() == 3
+
+
+def test_resolution_by_forms(spark):
+    """All forms of all bases tried one by one, as the definition says; the paths are expanded, not the imports."""
+    import itertools
+    import posixpath
+
+    stems = ["a", "a/b", "index", "a/index", "a.js", "a/b.mjs", "a/index.js"]
+    paths = [s + e for s in stems for e in ["", *resolve.EXTENSIONS, ".mts"]] + ["a/index.tsx", ".ts", "a/.js"]
+    specifiers = ["./" + s + e for s in stems for e in ("", ".js", ".mjs", ".ts")] + [".", "..", "../a", "../..", "./", "a", "/a", None]
+
+    def target(path, spec, there):
+        if spec is None or not (spec in (".", "..") or spec.startswith(("./", "../"))):
+            return None
+        whole = posixpath.normpath(posixpath.join("/x/y/z", posixpath.dirname(path), spec))
+        depth = posixpath.dirname(path).count("/") + bool(posixpath.dirname(path))
+        if spec.split("/").count("..") > depth:
+            return None
+        base = whole.removeprefix("/x/y/z").lstrip("/")
+        forms = [base[: -len(o)] + n for o, ns in resolve.ALIASES.items() for n in ns if base.endswith(o)]
+        forms += [base, *(base + e for e in resolve.EXTENSIONS), *(base + ("/" if base else "") + "index" + e for e in resolve.EXTENSIONS)]
+        return next((f for f in forms if f in there), None)
+
+    for some in (paths, paths[1::2], paths[::3]):
+        asked = list(itertools.product(["m.ts", "a/n.ts"], specifiers))
+        got = resolve.resolve(spark.createDataFrame([(*x, 1) for x in asked] * 2, "path string, specifier string, n int"), spark.createDataFrame([(p,) for p in some], "path string"))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate") == 1 and plan.count("Join") == 1
+        want = [(p, s, t) for p, s in asked if (t := target(p, s, set(some))) is not None]
+        assert sorted((r["path"], r["specifier"], r["target"]) for r in got.collect()) == sorted(want * 2)
