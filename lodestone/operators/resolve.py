@@ -49,15 +49,16 @@ def resolve(imports: DataFrame, paths: DataFrame, rules=None) -> DataFrame:
     project's path mapping; specifiers that fit none lead nowhere."""
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
     relative = F.col("specifier").rlike(r"^\.{1,2}(/|$)")
-    base = F.when(relative, joined(folder, F.col("specifier")))
-    known = imports.where("path is not null and specifier is not null")
+    base = F.when(relative, joined(F.col("_folder"), F.col("specifier")))
+    known = imports.where("path is not null and specifier is not null").withColumn("_folder", folder)
     if not rules:
-        return known.withColumn("_base", base).join(named(paths).withColumnRenamed("base", "_base"), "_base").select(*imports.columns, "target")
+        # never null, so that no filter on the join's key works it out once more; no path has this character
+        return known.withColumn("_base", F.coalesce(base, F.lit("\0"))).join(named(paths).withColumnRenamed("base", "_base"), "_base").select(*imports.columns, "target")
     bases = [base]
     for prefix, target in rules:
         rest = F.substring("specifier", F.lit(len(prefix) + 1), F.length("specifier"))
         bases.append(F.when(~relative & F.startswith("specifier", F.lit(prefix)), joined(F.lit(target), rest)))
-    wanted = known.select("path", "specifier").distinct().select("path", "specifier", F.posexplode(F.array(*bases)).alias("at", "base")).where("base is not null")
+    wanted = known.select("path", "specifier", "_folder").distinct().select("path", "specifier", F.posexplode(F.array(*bases)).alias("at", "base")).where("base is not null")
     first = wanted.join(named(paths), "base").groupBy("path", "specifier").agg(F.min_by("target", "at").alias("target"))
     return imports.join(first, ["path", "specifier"]).select(*imports.columns, "target")
 
