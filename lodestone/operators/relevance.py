@@ -17,18 +17,24 @@ def file_exports(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return files.join(names, "id", "left").withColumn("exports", F.coalesce("exports", F.array().cast("array<string>")))
 
 
+def keyword_weights(described: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, path, rank, kw, w) of files and words (kw) that match: weights of what matched, by place.
+
+    Words are sent to every executor after a check of their number; a file meets each of them once."""
+    words = F.broadcast(words) if words.count() <= 10_000 else words
+    f = described.select("id", "path", "rank", F.split(F.lower("path"), "[/.]").alias("_parts"), F.transform("exports", F.lower).alias("_exports"), F.lower("summary").alias("_s"), F.lower("when_to_use").alias("_w"))
+    k = F.col("kw")
+    tests = ((PATH, F.exists("_parts", lambda c: F.contains(c, k))), (EXPORT, F.exists("_exports", lambda c: F.contains(c, k))), (SUMMARY, F.contains("_s", k)), (WHEN, F.contains("_w", k)))
+    return f.join(words, F.lit(True)).select("id", "path", "rank", "kw", F.array(*[F.when(t, w).otherwise(0) for w, t in tests]).alias("w")).where(F.exists("w", lambda x: x > 0))
+
+
 def direct_scores(described: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, path, raw, score, rank, reasons) of files with a match.
 
     described: files with exports; queries: (query_id, query), few, sent to every executor after a check of their number."""
     asked = queries.select("query_id", F.posexplode(keywords(F.col("query"))).alias("at", "kw"))
-    words = asked.select("kw").distinct()
-    words = F.broadcast(words) if words.count() <= 10_000 else words
-    f = described.select("id", "path", "rank", F.split(F.lower("path"), "[/.]").alias("_parts"), F.transform("exports", F.lower).alias("_exports"), F.lower("summary").alias("_s"), F.lower("when_to_use").alias("_w"))
+    met = keyword_weights(described, asked.select("kw").distinct())
     k = F.col("kw")
-    tests = ((PATH, F.exists("_parts", lambda c: F.contains(c, k))), (EXPORT, F.exists("_exports", lambda c: F.contains(c, k))), (SUMMARY, F.contains("_s", k)), (WHEN, F.contains("_w", k)))
-    # a file meets each different word of all queries once; weights of what matched, by place
-    met = f.join(words, F.lit(True)).select("id", "path", "rank", "kw", F.array(*[F.when(t, w).otherwise(0) for w, t in tests]).alias("w")).where(F.exists("w", lambda x: x > 0))
     per = met.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, "kw").groupBy("query_id", "id", "path", "rank")
     why = F.flatten(F.collect_list(F.filter(F.transform("w", lambda x, i: F.struct(F.when(x > 0, i).alias("i"), F.col("at").alias("at"), k.alias("kw"))), lambda x: x["i"].isNotNull())))
     scored = per.agg(F.sum(F.aggregate("w", F.lit(0), lambda x, y: x + y)).alias("raw"), F.array_distinct(F.transform(F.array_sort(why), lambda x: x["kw"])).alias("reasons"))

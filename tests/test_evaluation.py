@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.functions.text import keywords
 from lodestone.operators import enrich, evaluate, sessions
 
 
@@ -125,3 +126,37 @@ def test_retries_and_pace():
         enrich.poll(lambda: None, clock=lambda: ticks[0], sleep=pause)
     assert [json.loads(t)["a"] for t in enrich.batch_texts({"response": {"inlinedResponses": [{"response": {"a": 1}}, {"a": 2}]}})] == [1, 2]
     assert enrich.provider_name(None, "k", {}) == ("gemini", "k")
+
+
+def test_score_dataset_finds_places_without_lists_of_results(spark, monkeypatch):
+    import random
+
+    from lodestone.operators import relevance
+
+    rng = random.Random(7)
+    words = ["red", "ring", "bolt", "old", "hot", "lock"]
+    name = lambda i: f"{rng.choice(words)}/{rng.choice(words)}_{i:02d}.ts"
+    rows = [(i, name(i), rng.choice([0.0, 0.5, 0.5, 1.0, 9.0, None]), rng.choice([None, "Handles red", "hot ring"]), rng.choice([None, "lock it"])) for i in range(60)]
+    files = spark.createDataFrame(rows, "id long, path string, rank double, summary string, when_to_use string")
+    symbols = spark.createDataFrame([(rng.randrange(60), rng.choice(words) + "X", True) for _ in range(30)], "file_id long, name string, is_exported boolean")
+    edges = spark.createDataFrame([(rng.randrange(64), rng.randrange(60)) for _ in range(70)], "source_id long, target_id long")
+    asked = []
+    for case in range(25):
+        q = " ".join(rng.sample(words, rng.randrange(0, 3))) + rng.choice(["", " the", " zinc"])
+        asked += [(case, q, rng.choice([rows[rng.randrange(60)][1], "gone.ts", None]), rng.choice([0, 1, 3])) for _ in range(rng.randrange(1, 5))]
+    asked = list({(c, p): (c, q, p, g) for c, q, p, g in asked}.values()) + [(24, "bolt", "gone.ts", 1)]
+    cases = spark.createDataFrame(asked, "case_id long, query string, path string, relevance long").dropDuplicates(["case_id", "path", "query"])
+
+    queries = cases.select(F.col("case_id").alias("query_id"), "query").distinct().where(F.size(keywords(F.col("query"))) > 0)
+    found = relevance.expanded_scores(files, edges, relevance.direct_scores(relevance.file_exports(files, symbols), queries)).select(F.col("query_id").alias("case_id"), "path", "score")
+    expected = cases.join(queries.select(F.col("query_id").alias("case_id")), "case_id", "left_semi").where("path is not null").select("case_id", "path", "relevance")
+    want = sorted(tuple(r) for r in evaluate.case_metrics(found, expected).collect())
+
+    def lists(*_):
+        raise AssertionError("a row for each query and file")
+
+    monkeypatch.setattr(relevance, "expanded_scores", lists)
+    got = sorted(tuple(r) for r in evaluate.score_dataset(files, symbols, edges, cases).collect())
+    assert [r[0] for r in got] == [r[0] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert g == pytest.approx(w, abs=1e-12)
